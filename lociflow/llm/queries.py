@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm import language, media, mixing, pieces, pii, quality, similar, token_files, toxicity
+from lociflow.llm import fingerprints, language, media, mixing, pieces, pii, quality, similar, token_files, toxicity
 from lociflow.llm.common import checkpoint_dir, id_crc, table
 
 
@@ -51,6 +51,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 def op6_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.join(table(spark, sf_dir, "documents"))
 
@@ -114,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_pieces": op3_pieces,
     "op4_token_files": op4_token_files,
+    "op5_fingerprints": op5_fingerprints,
     "op6_similar": op6_similar,
     "op7_media": op7_media,
     "op8_toxicity": op8_toxicity,
