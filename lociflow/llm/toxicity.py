@@ -32,7 +32,7 @@ REPORTS = ("said", "says", "claimed", "called", "wrote", "quoted", "reported", "
 
 #: Bound of the training sample: rows of each label.
 PER_CLASS = 1500
-HOLD = 3
+HOLD = 4
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 END = re.compile(r"[.!?;\n|]")
