@@ -24,7 +24,7 @@ WIDTH = 64
 LEVEL = 1
 #: Largest IDAT chunk.
 CHUNK = 1 << 20
-#: Rows that are unfiltered at a time where the filter allows it.
+#: Side of the shrunken image, and coefficients kept along each axis.
 SIDE, LOW = 32, 8
 
 
@@ -39,18 +39,35 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 
 
 def write_png(data: bytes, width: int = WIDTH) -> bytes:
-    """A grey PNG whose samples are data, a positive multiple of width; rows take filter 0."""
+    """A grey PNG whose samples are data, a positive multiple of width.
+
+    Each row takes the filter (none, sub or up) with the least sum of absolute
+    signed values, the first of equal ones.
+    """
     height, rest = divmod(len(data), width)
     if rest or not height:
         raise ValueError("samples must fill whole rows")
+    image = np.frombuffer(data, np.uint8).reshape(height, width)
     rows = np.zeros((height, width + 1), np.uint8)
-    rows[:, 1:] = np.frombuffer(data, np.uint8).reshape(height, width)
+    rows[:, 1:] = image
+    least = _cost(image)
+    for kind, shifted in ((1, (image[:, 1:], image[:, :-1])), (2, (image[1:], image[:-1]))):
+        made = image.copy()
+        made[(slice(None), slice(1, None)) if kind == 1 else (slice(1, None),)] = shifted[0] - shifted[1]
+        cost = _cost(made)
+        better = cost < least
+        rows[better, 0], rows[better, 1:] = kind, made[better]
+        least = np.minimum(least, cost)
     packed = zlib.compress(rows.tobytes(), LEVEL)
     parts = [SIGNATURE, _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0))]
     parts += [_chunk(b"IDAT", packed[i : i + CHUNK]) for i in range(0, len(packed), CHUNK)]
     return b"".join([*parts, _chunk(b"IEND", b"")])
 
 
+def _cost(rows: np.ndarray) -> np.ndarray:
+    return np.abs(rows.view(np.int8).astype(np.int16)).sum(1, dtype=np.int64)
+
+
 def read_png(blob: bytes) -> np.ndarray:
     """Samples of a PNG of 8-bit grey, RGB or RGBA without interlace; ValueError if it is damaged."""
     if blob[:8] != SIGNATURE:
@@ -87,34 +104,58 @@ def read_png(blob: bytes) -> np.ndarray:
 
 
 def unfilter(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
-    """Undo the row filters 0 to 4 (none, sub, up, average, Paeth)."""
+    """Undo the row filters 0 to 4 (none, sub, up, average, Paeth), modulo 256.
+
+    Sub rows are sums along themselves. Up rows are sums down from the last row
+    of another kind: the sum from the top, less the sum down to before that row.
+    Average and Paeth rows need their left neighbour first and go one by one, in
+    runs between which the others are undone at once.
+    """
     if not kinds.any():
         return rows
     if (kinds > 4).any():
         raise ValueError("unknown row filter")
     out = rows.copy()
-    zero = np.zeros(rows.shape[1], np.uint8)
-    for y in np.flatnonzero(kinds):
-        kind, row, up = kinds[y], out[y], out[y - 1] if y else zero
-        if kind == 1:
-            for c in range(step):
-                row[c::step] = np.add.accumulate(row[c::step], dtype=np.uint8)
-        elif kind == 2:
-            row += up
-        else:
-            left, corner = [0] * step, [0] * step
-            for x in range(len(row)):
-                a, b, c = left[x % step], int(up[x]), corner[x % step]
-                if kind == 3:
-                    guess = (a + b) >> 1
-                else:
-                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
-                row[x] = left[x % step] = (int(row[x]) + guess) & 255
-                corner[x % step] = b
+    for c in range(step):
+        sub = kinds == 1
+        out[sub, c::step] = np.add.accumulate(out[sub, c::step], axis=1, dtype=np.uint8)
+    slow = np.flatnonzero(kinds > 2).tolist()
+    begin = 0
+    for y in [*slow, len(out)]:
+        _undo_up(kinds, out, begin, y)
+        if y < len(out):
+            _undo_one(int(kinds[y]), out[y], out[y - 1] if y else np.zeros_like(out[0]), step)
+            begin = y + 1
     return out
 
 
+def _undo_up(kinds: np.ndarray, out: np.ndarray, begin: int, end: int) -> None:
+    """Undo the up rows from begin to end, of which none is average or Paeth; the row before begin is done."""
+    if not (kinds[begin:end] == 2).any():
+        return
+    first = max(0, begin - 1)
+    part = out[first:end]
+    base = kinds[first:end] != 2
+    base[0] = True  # the row above, or the top row, above which all is zero
+    last = np.maximum.accumulate(np.where(base, np.arange(len(base)), 0))
+    total = np.add.accumulate(part, axis=0, dtype=np.uint8)
+    above = np.vstack([np.zeros_like(total[:1]), total])[last]
+    part[...] = total - above
+
+
+def _undo_one(kind: int, row: np.ndarray, up: np.ndarray, step: int) -> None:
+    left, corner = [0] * step, [0] * step
+    for x in range(len(row)):
+        a, b, c = left[x % step], int(up[x]), corner[x % step]
+        if kind == 3:
+            guess = (a + b) >> 1
+        else:
+            pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+            guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
+        row[x] = left[x % step] = (int(row[x]) + guess) & 255
+        corner[x % step] = b
+
+
 def _cosines(n: int, k: int) -> np.ndarray:
     return np.cos(np.pi / n * (np.arange(n) + 0.5)[None] * np.arange(k)[:, None])
 
