@@ -19,3 +19,12 @@ def settled(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="lociflow-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, small: int = 64 << 20) -> DataFrame:
+    """A table of less than `small` bytes dealt out to all cores; others keep the partitions of their files.
+
+    A small file is one task however costly the work on its rows is.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < small else df

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.functions import sequence as S
+from lociflow.operators.shared import spread
 from lociflow.plans.contracts import Preprocessing
 
 #: Geometry for documents: short enough for most of them to hold windows.
@@ -21,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sequence records, unsupported characters dropped; documents of a source share a contig."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     kept = F.regexp_replace(S.normalize(F.col("text")), "[^ACGTN]", "")
     return d.select(F.col("doc_id").cast("string").alias("sample_id"), F.col("lang").alias("individual_id"), F.col("source").alias("contig"), kept.alias("sequence"), F.lit("reference").alias("source"), F.lit(0).cast("long").alias("sequence_start"))
 

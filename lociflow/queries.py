@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lociflow.functions import scores as score_fn, sequence as S, tokens, variants as V
 from lociflow.functions.splits import assign_split
 from lociflow.operators import effects, ensemble, genotypes, guards, intervals, loocv, metrics, prepare, windows
+from lociflow.operators.shared import spread
 from lociflow.plans import adapters as A
 from lociflow.plans.adapters import CONFIG
 from lociflow.sources import assemblies, corpus, fasta
@@ -129,12 +130,14 @@ TRIALS = r"""tp AS (
 
 @query(f"WITH {NORMAL} SELECT doc_id, n AS normalized FROM norm")
 def seq_normalize(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", S.normalize(F.col("text")).alias("normalized"))
+    docs = spread(A.table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", S.normalize(F.col("text")).alias("normalized"))
 
 
 @query(f"WITH {NORMAL} SELECT doc_id, regexp_extract(n, '[^ACGTN]') AS unsupported FROM norm")
 def seq_unsupported(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", S.unsupported(S.normalize(F.col("text"))).alias("unsupported"))
+    docs = spread(A.table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", S.unsupported(S.normalize(F.col("text"))).alias("unsupported"))
 
 
 @query(f"WITH {SEQS} SELECT sample_id, round(gc, 6) AS gc_fraction FROM judged")
