@@ -20,8 +20,8 @@ from lociflow.llm.common import map_texts
 UND = "und"
 BUCKETS = 1 << 13
 #: Bounds of the training sample: rows of each language, and rows in all.
-PER_LANG = 500
-MOST_ROWS = 4000
+PER_LANG = 300
+MOST_ROWS = 2400
 #: Below this lead of the best codeword over the second a result is ambiguous.
 AMBIGUOUS = 0.1
 LETTER = re.compile(r"[^\W\d_]")
@@ -79,7 +79,8 @@ class Coder:
         t = self.code[y]
         share = np.sqrt(len(y) / len(self.langs) / np.bincount(y, minlength=len(self.langs))[y]).astype(np.float32)
         self.bias = np.average(t, axis=0, weights=share**2).astype(np.float32)
-        xs = x * share[:, None]
+        xs = x
+        xs *= share[:, None]
         gram = xs @ xs.T
         own = np.linalg.inv(gram + ridge * np.eye(len(y), dtype=np.float32))
         dual = own @ ((t - self.bias) * share[:, None])
@@ -121,18 +122,26 @@ def train(docs: DataFrame, held_out: Column, per_lang: int = PER_LANG, most: int
     sample = known.where(F.element_at(share, F.col("lang")) > draw).select("doc_id", "lang", "text")
 
     def featurise(_, texts):
-        return {"x": [features(t).astype(np.float16).tobytes() if LETTER.search(t) else None for t in texts]}
+        out = {"at": [], "x": []}
+        for t in texts:
+            x = features(t) if LETTER.search(t) else np.zeros(0, np.float32)
+            at = np.flatnonzero(x)
+            out["at"].append(at.astype(np.uint16).tobytes())
+            out["x"].append(x[at].astype(np.float16).tobytes())
+        return out
 
-    got = [r for r in map_texts(sample, featurise, "x binary", keep=("doc_id", "lang")).where("x is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(4 * most).collect()]
+    got = map_texts(sample, featurise, "at binary, x binary", keep=("doc_id", "lang")).where("length(at) > 0").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(4 * most).collect()
     of: dict[str, list] = {}
     for r in got:
         if len(of.setdefault(r[1], [])) < per_lang:
-            of[r[1]].append(r[2])
+            of[r[1]].append((r[2], r[3]))
     langs = sorted(of)
     if not langs:
         return None
-    x = np.stack([np.frombuffer(b, np.float16).astype(np.float32) for lang in langs for b in of[lang]])
     y = np.array([i for i, lang in enumerate(langs) for _ in of[lang]])
+    x = np.zeros((len(y), BUCKETS), np.float32)
+    for row, (at, v) in zip(x, (r for lang in langs for r in of[lang])):
+        row[np.frombuffer(at, np.uint16)] = np.frombuffer(v, np.float16)
     return Coder(langs).fit(x, y)
 
 
