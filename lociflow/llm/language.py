@@ -24,13 +24,18 @@ PER_LANG = 300
 MOST_ROWS = 2400
 #: Below this lead of the best codeword over the second a result is ambiguous.
 AMBIGUOUS = 0.1
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile("[A-Za-z]")
 #: Bytes to bytes for n-grams: all but letters become a space.
 _PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 BLOCK = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter of any script; signs such as superscript digits are none."""
+    return bool(LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 def features(text: str) -> np.ndarray:
     """Hashed counts of byte n-grams, damped and of unit length; all zero without letters."""
     counts = np.zeros(BUCKETS, np.float32)
@@ -124,7 +129,7 @@ def train(docs: DataFrame, held_out: Column, per_lang: int = PER_LANG, most: int
     def featurise(_, texts):
         out = {"at": [], "x": []}
         for t in texts:
-            x = features(t) if LETTER.search(t) else np.zeros(0, np.float32)
+            x = features(t) if has_letter(t) else np.zeros(0, np.float32)
             at = np.flatnonzero(x)
             out["at"].append(at.astype(np.uint16).tobytes())
             out["x"].append(x[at].astype(np.float16).tobytes())
@@ -159,7 +164,7 @@ def predict(docs: DataFrame, coder: Coder | None, keep: tuple[str, ...] = ("doc_
         out = {"lang_pred": [UND] * len(texts), "score": [0.0] * len(texts), "ambiguous": [True] * len(texts)}
         if coder is None:
             return out
-        at = [i for i, t in enumerate(texts) if LETTER.search(t)]
+        at = [i for i, t in enumerate(texts) if has_letter(t)]
         for k in range(0, len(at), 256):
             part = at[k : k + 256]
             first, p, unsure = coder.decode(np.stack([features(texts[i]) for i in part]))

@@ -126,6 +126,10 @@ def test_blocks_count_every_ngram_once():
     assert np.abs(plain - whole).max() < 0.02
 
 
+def test_letters():
+    assert [language.has_letter(t) for t in ("", "12 ²½ _-", "é", "日", "Я", "x1", "\u0301", "😀")] == [False, False, True, True, True, True, False, False]
+
+
 def test_language_odd_rows(odd, none):
     coder = language.train(odd, F.lit(False))
     got = {r.doc_id: r for r in language.predict(odd, coder).collect()}
