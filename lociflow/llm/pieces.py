@@ -23,7 +23,7 @@ from lociflow.llm.common import map_texts
 
 SPACE = "▁"
 #: Parts that a worker remembers; beyond it it starts anew.
-REMEMBER = 600_000
+REMEMBER = 250_000
 PART = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 
 
@@ -209,20 +209,20 @@ class Pieces:
 
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, ids, and the source byte where each piece begins and ends.
+    """The kept columns, ids, and the source byte where each piece ends.
 
-    Null and empty texts have no ids; equal texts get equal ids; an empty table
-    gives an empty table; other columns are not read. The model file must be at
-    the same path on every executor.
+    A piece begins where the one before ends, the first at byte 0. Null and
+    empty texts have no ids; equal texts get equal ids; an empty table gives an
+    empty table; other columns are not read. The model file must be at the same
+    path on every executor.
     """
 
     def go(_, texts):
         m = Pieces.of(path)
         ids = m.encode(texts)
-        ends = [m.spans(t, i) for t, i in zip(texts, ids)]
-        return {"ids": ids, "starts": [np.concatenate([e[:0], [0], e[:-1]])[: len(e)].astype(np.int64) for e in ends], "ends": ends}
+        return {"ids": ids, "ends": [m.spans(t, i).astype(np.int32) for t, i in zip(texts, ids)]}
 
-    return map_texts(docs, go, "ids array<int>, starts array<long>, ends array<long>", keep=keep)
+    return map_texts(docs, go, "ids array<int>, ends array<int>", keep=keep)
 
 
 def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
