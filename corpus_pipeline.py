@@ -70,7 +70,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, the ids of each text and the byte spans of its pieces; repeats stay apart."""
+    """doc_id, lang, source, the ids of each text and where its pieces end; repeats stay apart."""
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"))
 
 
