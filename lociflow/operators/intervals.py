@@ -73,12 +73,12 @@ def overlap_join(windows: DataFrame, spans: DataFrame, keys: list[str], bin_size
     return joined.withColumn("cut_start", F.when(inside, F.greatest("span_start", "window_start"))).withColumn("cut_end", F.when(inside, F.least("span_end", "window_end"))).drop("span_start", "span_end")
 
 
-def union_lengths(overlaps: DataFrame, by: list[str]) -> DataFrame:
-    """Bases that at least one span covers, for each window: what each span adds beyond those before it."""
+def union_lengths(overlaps: DataFrame, by: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Bases that at least one span covers, for each window: what each span adds beyond those before it; keep: columns that a window's rows share."""
     before = Window.partitionBy(*by).orderBy("cut_start", "cut_end").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max("cut_end").over(before)
     adds = F.greatest(F.lit(0), F.col("cut_end") - F.greatest("cut_start", F.coalesce(reach, F.col("cut_start"))))
-    return overlaps.withColumn("__adds", F.when(F.col("cut_start").isNotNull(), adds).otherwise(0)).groupBy(*by).agg(F.sum("__adds").cast("long").alias("covered_bases"))
+    return overlaps.withColumn("__adds", F.when(F.col("cut_start").isNotNull(), adds).otherwise(0)).groupBy(*by).agg(F.sum("__adds").cast("long").alias("covered_bases"), *(F.first(k).alias(k) for k in keep))
 
 
 def category_sums(overlaps: DataFrame, by: list[str]) -> DataFrame:

@@ -233,14 +233,25 @@ def manifest_conflicts(spark, d):
 # --- intervals -------------------------------------------------------------
 
 
-def _overlaps(spark, d):
-    few = _windows(spark, d).where("block_start = 0").select("sample_id", "contig", "window_start", "window_end", "sequence").distinct()
+def _overlaps(spark, d, whole: bool = False):
+    """Windows with their spans: of the first block, as the SQL has them, or (whole) of every block."""
+    w = _windows(spark, d) if whole else _windows(spark, d).where("block_start = 0")
+    few = w.select("sample_id", "contig", "window_start", "window_end", "sequence").distinct()
     return intervals.overlap_join(few, A.spans(spark, d), ["sample_id"], CONFIG.window_size)
 
 
 @query(f"WITH {OVERLAPS} SELECT sample_id, window_start, coalesce(sum(CASE WHEN category = 'filtered' THEN b - a END), 0)::BIGINT AS filtered_bases, coalesce(sum(CASE WHEN category = 'no_call' THEN b - a END), 0)::BIGINT AS no_call_bases, coalesce(sum(CASE WHEN category = 'other' THEN b - a END), 0)::BIGINT AS other_masked_bases FROM ov GROUP BY ALL")
 def mask_overlap(spark, d):
-    return intervals.category_sums(_overlaps(spark, d), ["sample_id", "window_start"])
+    return _category_bases(_overlaps(spark, d))
+
+
+@query()
+def mask_overlap_all(spark, d):
+    return _category_bases(_overlaps(spark, d, whole=True))
+
+
+def _category_bases(o):
+    return intervals.category_sums(o, ["sample_id", "window_start"])
 
 
 @query(
@@ -249,9 +260,16 @@ def mask_overlap(spark, d):
     SELECT sample_id, window_start, covered AS covered_bases, greatest(covered, length(regexp_replace(wseq, '[^N]', '', 'g'))) AS reference_bases FROM u"""
 )
 def mask_unique(spark, d):
-    o = _overlaps(spark, d)
-    n = o.groupBy("sample_id", "window_start").agg(F.first("sequence").alias("sequence"))
-    u = intervals.union_lengths(o, ["sample_id", "window_start"]).join(n, ["sample_id", "window_start"])
+    return _covered_bases(_overlaps(spark, d))
+
+
+@query()
+def mask_unique_all(spark, d):
+    return _covered_bases(_overlaps(spark, d, whole=True))
+
+
+def _covered_bases(o):
+    u = intervals.union_lengths(o, ["sample_id", "window_start"], keep=("sequence",))
     return u.select("sample_id", "window_start", "covered_bases", intervals.source_aware(F.lit("reference"), F.col("covered_bases"), F.col("sequence")).alias("reference_bases"))
 
 
