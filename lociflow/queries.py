@@ -234,10 +234,11 @@ def manifest_conflicts(spark, d):
 
 
 def _overlaps(spark, d, whole: bool = False):
-    """Windows with their spans: of the first block, as the SQL has them, or (whole) of every block."""
+    """Windows with their spans: of the first block and 1,000 documents, as the SQL has them, or (whole) of every block and document."""
     w = _windows(spark, d) if whole else _windows(spark, d).where("block_start = 0")
     few = w.select("sample_id", "contig", "window_start", "window_end", "sequence").distinct()
-    return intervals.overlap_join(few, A.spans(spark, d), ["sample_id"], CONFIG.window_size)
+    spans = A.spans(spark, d, None) if whole else A.spans(spark, d)
+    return intervals.overlap_join(few, spans, ["sample_id"], CONFIG.window_size)
 
 
 @query(f"WITH {OVERLAPS} SELECT sample_id, window_start, coalesce(sum(CASE WHEN category = 'filtered' THEN b - a END), 0)::BIGINT AS filtered_bases, coalesce(sum(CASE WHEN category = 'no_call' THEN b - a END), 0)::BIGINT AS no_call_bases, coalesce(sum(CASE WHEN category = 'other' THEN b - a END), 0)::BIGINT AS other_masked_bases FROM ov GROUP BY ALL")
@@ -352,12 +353,13 @@ def het_double(spark, d):
     return c.select("contig", "pos", "sample_id", "allele_no", "a.allele", "a.is_heterozygous")
 
 
-def _loci_on_documents(spark, d):
+def _loci_on_documents(spark, d, ids: int | None = 500):
     from lociflow.operators.variants import with_reference
 
     ref = A.raw_sequences(spark, d).select(F.col("sample_id").alias("contig"), "sequence")
     tiles = fasta.tiles(ref, A.TILE, 512)
-    loci = A.table(spark, d, "lineitem").select((F.col("l_orderkey") % 500).cast("string").alias("contig"), F.col("l_partkey").alias("pos"), F.lit("A").alias("ref"), F.lit("T").alias("alt")).distinct()
+    l = A.with_document(spark, d, A.table(spark, d, "lineitem"), "contig", ids)
+    loci = l.select("contig", F.col("l_partkey").alias("pos"), F.lit("A").alias("ref"), F.lit("T").alias("alt")).distinct()
     return with_reference(loci, tiles, A.TILE)
 
 
@@ -366,13 +368,30 @@ LOCI = SEQS + r""", loci AS (SELECT DISTINCT (l_orderkey % 500)::VARCHAR AS cont
 
 @query(f"WITH {LOCI} SELECT contig, pos, substr(sequence, pos - 256, 256) || 'T' || substr(sequence, pos + 1, 255) AS sequence FROM located WHERE pos > 256 AND pos + 255 <= len")
 def locus_window(spark, d):
-    p = _loci_on_documents(spark, d)
+    return _locus_windows(_loci_on_documents(spark, d))
+
+
+@query()
+def locus_window_all(spark, d):
+    return _locus_windows(_loci_on_documents(spark, d, None))
+
+
+def _locus_windows(p):
     return p.select("contig", "pos", V.centred_window(F.col("bases"), F.col("tile_start"), F.col("pos"), F.col("alt"), F.col("contig_length")).alias("sequence")).where("sequence IS NOT NULL")
 
 
 @query(f"WITH {LOCI} SELECT contig, pos, substr(sequence, pos, 1) AS base FROM located WHERE substr(sequence, pos, 1) <> 'A'")
 def ref_base_mismatch(spark, d):
-    return guards.reference_mismatches(_loci_on_documents(spark, d).where(F.col("pos") <= F.col("contig_length"))).select("contig", "pos", "base")
+    return _mismatches(_loci_on_documents(spark, d))
+
+
+@query()
+def ref_base_mismatch_all(spark, d):
+    return _mismatches(_loci_on_documents(spark, d, None))
+
+
+def _mismatches(p):
+    return guards.reference_mismatches(p.where(F.col("pos") <= F.col("contig_length"))).select("contig", "pos", "base")
 
 
 # --- genotypes -------------------------------------------------------------
