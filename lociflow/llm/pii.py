@@ -119,8 +119,9 @@ def revealing_terms(docs: DataFrame, support: int = SUPPORT, threshold: float =
 
     Counts are of documents; support is counted in different texts, so that
     copies of one text prove nothing. Entities in fewer than `support` different
-    texts can't have it with any term and go before terms are expanded. Counts
-    of terms over the corpus are summed by task before the shuffle; `most`
+    texts can't have it with any term and go before terms are expanded. Terms
+    count outside base spans only, with an entity and over the corpus alike.
+    Counts over the corpus are summed by task before the shuffle; `most`
     bounds the candidates that are broadcast to that scan, and beyond it the
     counts of all terms are joined to them. A null text holds no terms.
     """
@@ -161,13 +162,14 @@ def revealing_terms(docs: DataFrame, support: int = SUPPORT, threshold: float =
 
 
 def _document_counts(docs: DataFrame, wanted) -> DataFrame:
-    """(term, n_t): in how many documents each term stands; sums of tasks with bounded tables are added up."""
+    """(term, n_t): in how many documents each term stands outside base spans; sums of tasks with bounded tables are added up."""
 
     def count(batches):
         seen: Counter = Counter()
         for b in batches:
             for t in texts_of(b):
-                seen.update(terms(t) & wanted.value if wanted else terms(t))
+                found = terms(_blank(t, base_spans(t)))
+                seen.update(found & wanted.value if wanted else found)
                 if len(seen) > 500_000:
                     yield pa.RecordBatch.from_pydict({"term": list(seen), "n": list(seen.values())}, schema=schema)
                     seen.clear()

@@ -52,6 +52,18 @@ def test_sanitise_by_broadcast_and_by_join(spark):
     assert few[12].clean == "common words here without anything 2" and not few[12].added
 
 
+def test_a_name_inside_and_outside_an_address(spark):
+    """Only words outside addresses count, with the entity and over the corpus: Schmidt stands outside in 5 texts of 40."""
+    rows = [(i, f"text{'abcdefgh'[i % 8]}{'ijklm'[i // 8]} anna.schmidt@x.org" + (" Schmidt" if i < 5 else "")) for i in range(40)]
+    rows += [(40 + i, "nothing of the kind") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (pii.BROADCAST_TERMS, 0):
+        found = {r.term: r.disclosure for r in pii.revealing_terms(docs, most=most).collect()}
+        assert set(found) == {"schmidt"} and abs(found["schmidt"] - 1) < 1e-9
+        got = {r.doc_id: r.clean for r in pii.sanitise(docs, most=most).collect()}
+        assert got[0] == "textai [EMAIL] " and got[39] == "texthm [EMAIL]"
+
+
 def test_odd_rows(odd, none):
     got = {r.doc_id: r for r in pii.sanitise(odd).collect()}
     assert len(got) == 10 and got[0].base == [] and got[4].clean.startswith("one two")
