@@ -30,6 +30,8 @@ class Trial:
     class_weight: float = 1.0
     ves_mode: str = "none"
     seed: int = 0
+    weight_decay: float = 1e-4
+    top_k: int | None = None
 
     def __post_init__(self) -> None:
         if self.ves_mode not in VES_MODES:
@@ -37,14 +39,24 @@ class Trial:
 
 
 def random_trials(n: int, seed: int = 0, ves_mode: str = "none") -> list[Trial]:
-    """Trials drawn from the search space; the same for the same seed."""
+    """Trials drawn from the search space that is matched; the same for the same seed."""
     rng = np.random.RandomState(seed)
+    log = lambda a, b: float(np.exp(rng.uniform(np.log(a), np.log(b))))
+    whole = lambda a, b: int(rng.randint(a, b + 1))
     return [
-        Trial(t, int(rng.randint(1, 11)), int(rng.choice([32, 64, 128, 256])), float(rng.uniform(0, 0.5)), float(10 ** rng.uniform(-4, -2)), int(rng.choice([40, 80, 120])), float(rng.uniform(0.1, 1)), float(rng.uniform(0.1, 1)), ves_mode, seed)
+        Trial(t, whole(3, 4), min(512, int(log(200, 513))), float(rng.uniform(0.03, 0.25)), log(1.5e-3, 1.5e-2), whole(200, 800), log(0.5, 6), log(0.1, 3), ves_mode, seed, log(1e-5, 5e-3), whole(2000, 5000) if ves_mode == "selection" else None)
         for t in range(n)
     ]
 
 
+def schedule(step: int, steps: int) -> float:
+    """Share of the rate at a step from 0: linear warm-up over a tenth, then half a cosine to 0."""
+    warm = max(1, steps // 10)
+    if step < warm:
+        return step / warm
+    return 0.5 * (1 + float(np.cos(np.pi * (step - warm) / max(1, steps - warm))))
+
+
 def layer_widths(inputs: int, width: int, layers: int) -> list[int]:
     """Widths that shrink to 0.8 of the one before where they would exceed it."""
     out, last = [], inputs
@@ -55,7 +67,7 @@ def layer_widths(inputs: int, width: int, layers: int) -> list[int]:
 
 
 class Network:
-    """Optional gate, standardised input, [linear, ELU, dropout] layers, heads for coordinates and classes; Adam."""
+    """Optional gate, standardised input, [linear, ELU, dropout] layers, heads for coordinates and classes; Adam with decoupled weight decay, warm-up and a cosine schedule."""
 
     def __init__(self, inputs: int, trial: Trial, classes: int, gate: np.ndarray | None = None):
         rng = np.random.RandomState(trial.seed + 1000 * trial.trial)
@@ -103,10 +115,12 @@ class Network:
             if "gate" in self.p:
                 s = 1 / (1 + np.exp(-self.p["gate"]))
                 g["gate"] = (dh / self.sd * x * s * (1 - s)).sum(0)
+            rate = self.trial.rate * schedule(step - 1, self.trial.epochs)
             for key, grad in g.items():
                 m[key] = 0.9 * m[key] + 0.1 * grad
                 v[key] = 0.999 * v[key] + 0.001 * grad**2
-                self.p[key] -= self.trial.rate * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.999**step)) + 1e-8)
+                self.p[key] *= 1 - rate * self.trial.weight_decay
+                self.p[key] -= rate * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.999**step)) + 1e-8)
         return self
 
 
@@ -131,12 +145,17 @@ def run(individuals: DataFrame, trials: list[Trial], scores: list[float] | None
     the dense matrix, -1 for missing). Individuals are few (a row each, tens of
     thousands of bytes), so the table is sent to the tasks; a (trial, fold) pair
     is a task's group, trained without the fold's individual. Missing genotypes
-    take two draws at the frequency among the others.
+    take two draws at the frequency among the others. A trial's own top_k goes
+    before that of the call.
     """
+    if scores is None and any(t.ves_mode != "none" for t in trials):
+        raise ValueError("a ves_mode other than none needs scores")
     spark = individuals.sparkSession
     data = individuals.select("individual_id", F.col("latitude").cast("double"), F.col("longitude").cast("double"), "biome", "genotypes").orderBy("individual_id").toPandas()
     if data.empty:
         raise ValueError("no individuals")
+    if scores is not None and len(scores) != len(data["genotypes"].iloc[0]):
+        raise ValueError(f"{len(scores)} scores for {len(data['genotypes'].iloc[0])} loci")
     shared = spark.sparkContext.broadcast(data)
     settings = spark.sparkContext.broadcast({t.trial: t for t in trials})
     ves = None if scores is None else np.asarray(scores, float)
@@ -166,7 +185,7 @@ def _fold(data: pd.DataFrame, trial: Trial, who: str, ves: np.ndarray | None, cl
         if trial.ves_mode == "weighted":
             x = x * size
         elif trial.ves_mode == "selection":
-            x = x[:, np.sort(np.lexsort((np.arange(len(size)), -size))[: top_k or len(size)])]
+            x = x[:, np.sort(np.lexsort((np.arange(len(size)), -size))[: trial.top_k or top_k or len(size)])]
         else:
             logs = np.log(np.maximum(size, 1e-8))
             gate = (logs - logs.mean()) / max(logs.std(ddof=1) if len(logs) > 1 else 0.0, 1e-6) * 2

@@ -69,10 +69,16 @@ class GenotypePlan:
     trials: int = 0
     seed: int = 0
     ves_mode: str = "none"
+    #: Parquet table of locus_key and score.
+    scores: str | None = None
+    #: Loci that selection keeps in a run without trials; trials draw their own.
+    top_k: int | None = None
 
     def __post_init__(self) -> None:
         if isinstance(self.trials, bool) or self.trials < 0:
             raise ValueError("trials must not be negative")
+        if self.top_k is not None and (isinstance(self.top_k, bool) or self.top_k < 1):
+            raise ValueError("top_k must be positive")
 
 
 def genotype_plan(path: str | Path) -> GenotypePlan:
@@ -81,4 +87,4 @@ def genotype_plan(path: str | Path) -> GenotypePlan:
         raw = tomllib.load(f)
     plan = _only(GenotypePlan, raw.get("genotype", raw), "genotype")
     at = lambda p: p if "://" in p else str((path.parent / p).resolve())
-    return GenotypePlan(at(plan.vcf), at(plan.metadata), at(plan.output), plan.trials, plan.seed, plan.ves_mode)
+    return GenotypePlan(at(plan.vcf), at(plan.metadata), at(plan.output), plan.trials, plan.seed, plan.ves_mode, at(plan.scores) if plan.scores else None, plan.top_k)

@@ -37,15 +37,37 @@ def matrix(spark: SparkSession, vcf_path: str, metadata_path: str) -> tuple[Data
     return cells.withColumn("locus_key", F.concat_ws(":", "contig", F.col("pos").cast("string"))), matched
 
 
+def locus_scores(cells: DataFrame, scores: DataFrame) -> list[float]:
+    """Scores (locus_key, score) in the order of dense rows; fails unless each locus has one."""
+    loci = cells.select("line_no", "locus_key").distinct()
+    s = scores.select(F.col("locus_key").alias("__key"), F.col("score").cast("double").alias("score"))
+    guards.require_none(s.groupBy("__key").count().where("count > 1"), "a locus has two scores")
+    held = loci.join(s, F.col("locus_key") == F.col("__key"), "left").drop("__key")
+    guards.require_none(held.where("score IS NULL"), "a locus has no score")
+    return [r.score for r in held.orderBy("line_no").select("score").collect()]
+
+
 def evaluate(spark: SparkSession, plan: GenotypePlan, scores: list[float] | None = None) -> DataFrame:
-    """Run the evaluation and store predictions and a summary; returns the summary."""
+    """Run the evaluation and store predictions and a summary of the adopted result: the best trial, or the ensemble where better.
+
+    Scores are given in the order of loci, or read from the plan's table; a
+    ves_mode other than none fails without them. The ensemble has no trial.
+    """
+    if plan.ves_mode != "none" and scores is None and plan.scores is None:
+        raise ValueError(f"ves_mode {plan.ves_mode} needs scores")
     cells, matched = matrix(spark, plan.vcf, plan.metadata)
+    if scores is None and plan.scores and plan.ves_mode != "none":
+        scores = locus_scores(cells, spark.read.parquet(plan.scores))
     rows = genotypes.dense_rows(cells).join(matched, "sample_id").select("individual_id", "latitude", "longitude", F.col("biome_population_label").alias("biome"), "genotypes")
     trials = loocv.random_trials(plan.trials, plan.seed, plan.ves_mode) if plan.trials else [loocv.Trial(seed=plan.seed, ves_mode=plan.ves_mode)]
-    got = loocv.search(rows, trials, scores=scores)
-    best = got["trials"].orderBy("objective", "trial").limit(1)
-    chosen = got["predictions"].join(F.broadcast(best.select("trial")), "trial")
+    got = loocv.search(rows, trials, scores=scores, top_k=plan.top_k)
+    kept = got["adopted"].first().adopted
+    if kept == "ensemble":
+        chosen = got["ensemble"].select(F.lit(None).cast("int").alias("trial"), F.col("individual_id").alias("fold"), *got["predictions"].columns[2:])
+    else:
+        best = got["trials"].orderBy("objective", "trial").limit(1)
+        chosen = got["predictions"].join(F.broadcast(best.select("trial")), "trial")
     chosen.write.mode("overwrite").parquet(f"{plan.output}/predictions")
-    summary = metrics.geo_errors(chosen).crossJoin(metrics.within(chosen)).crossJoin(metrics.accuracy(chosen, "true_biome", "pred_biome"))
+    summary = metrics.geo_errors(chosen).crossJoin(metrics.within(chosen)).crossJoin(metrics.accuracy(chosen, "true_biome", "pred_biome")).withColumn("adopted", F.lit(kept))
     summary.coalesce(1).write.mode("overwrite").json(f"{plan.output}/summary")
     return summary
