@@ -84,7 +84,7 @@ class Grammar:
         return None
 
     def clauses(self, text: str):
-        """(start, end, heads) of the clauses of lower-case text that hold a head; found by one pass."""
+        """(start, end) of the whole clauses of lower-case text that hold a head; each part is looked at once."""
         if self._machine is None:
             self._machine = ahocorasick.Automaton()
             for s in self.heads:
@@ -96,13 +96,13 @@ class Grammar:
             if begin < done or begin and (text[begin - 1].isalpha() or text[begin - 1] == "'"):
                 continue
             m = None
-            for m in END.finditer(text, max(done, begin - 400), begin):
+            for m in END.finditer(text, done, begin):
                 pass
-            first = m.end() if m else max(done, begin - 400)
-            m = END.search(text, end, end + 400)
-            last = m.start() if m else min(len(text), end + 400)
-            yield first, max(last, end + 1)
-            done = max(last, end + 1)
+            first = m.end() if m else done
+            m = END.search(text, end + 1)
+            last = m.start() if m else len(text)
+            yield first, last
+            done = last
 
     def matches(self, text: str) -> list[tuple[int, int, list[tuple[int, float]]]]:
         """Matched clauses: span in the lower-case text, and (event, head's weight) of each head."""
@@ -203,7 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "to
     """Learn heads and weights from at most 2 * per_class labelled rows.
 
     A stem is a candidate if its log odds of toxic against clean documents are
-    at least `odds`; fixed heads that the sample holds must pass it as well.
+    at least `odds`; fixed heads that clean documents of the sample hold must
+    pass it as well.
     Without labelled rows the grammar keeps its fixed heads and scores the
     strongest clause.
     """
@@ -223,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "to
     shared = spark.sparkContext.broadcast(candidates)
     own = map_texts(rows.where("label = 1"), lambda _, texts: {"own": [sorted(s for s in doc_stems(t) if s in shared.value) for t in texts]}, "own array<string>", keep=("near",))
     chosen = covering(candidates, [(r[0], r[1]) for r in own.collect()])
-    heads = {s: (kind, 1.0) for s, kind in FIXED.items() if s not in counts or s in candidates}
+    heads = {s: (kind, 1.0) for s, kind in FIXED.items() if s not in counts or not counts[s][1] or log_odds(*counts[s], sizes) >= odds}
     heads |= {s: (FIXED.get(s, INSULT), min(2.0, w / 4)) for s, w in chosen.items()}
     grammar = Grammar(heads)
     shared_grammar = spark.sparkContext.broadcast(grammar)
