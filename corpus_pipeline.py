@@ -70,8 +70,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, the ids of each text and where its pieces end; repeats stay apart."""
-    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"))
+    """doc_id, lang, source, the ids of each text, where its pieces end, and the digest of what the ids decode to; repeats stay apart."""
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"), decoded=True)
 
 
 STAGES = [

@@ -208,8 +208,8 @@ class Pieces:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, ids, and the source byte where each piece ends.
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """The kept columns, ids, the source byte where each piece ends, and (decoded) the digest of the text decoded from the ids.
 
     A piece begins where the one before ends, the first at byte 0. Null and
     empty texts have no ids; equal texts get equal ids; an empty table gives an
@@ -220,9 +220,16 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
     def go(_, texts):
         m = Pieces.of(path)
         ids = m.encode(texts)
-        return {"ids": ids, "ends": [m.spans(t, i).astype(np.int32) for t, i in zip(texts, ids)]}
+        out = {"ids": ids, "ends": [m.spans(t, i).astype(np.int32) for t, i in zip(texts, ids)]}
+        if decoded:
+            out["decoded_sha256"] = [_digest(m, i) for i in ids]
+        return out
+
+    return map_texts(docs, go, "ids array<int>, ends array<int>" + (", decoded_sha256 string" if decoded else ""), keep=keep)
+
 
-    return map_texts(docs, go, "ids array<int>, ends array<int>", keep=keep)
+def _digest(m: Pieces, ids) -> str:
+    return hashlib.sha256(m.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -239,7 +246,7 @@ def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",))
         for t, ids in zip(texts, m.encode(texts)):
             out["n_tokens"].append(len(ids))
             out["ids_sha256"].append(hashlib.sha256(",".join(map(written.__getitem__, ids.tolist())).encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(m.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
+            out["decoded_sha256"].append(_digest(m, ids))
             out["spans_crc32"].append(zlib.crc32(m.spans(t, ids).astype("<i8").tobytes()))
         return out
 
