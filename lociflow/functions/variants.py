@@ -36,9 +36,9 @@ def format_value(format_keys: Column, sample: Column, key: str = "GT") -> Column
 
 
 def gt_tokens(gt: Column) -> Column:
-    """Allele indices as text; null for a missing call (empty, or any `.`)."""
+    """Allele indices as text; null for a missing call (empty, or any `.`). A token without a digit, as in `0/`, is malformed, not missing."""
     tokens = F.when(F.contains(gt, F.lit("/")), F.split(gt, "/")).otherwise(F.split(gt, r"\|"))
-    return F.when(gt.isNull() | (gt == "") | F.exists(tokens, lambda t: (t == ".") | (t == "")), F.lit(None)).otherwise(tokens)
+    return F.when(gt.isNull() | (gt == "") | F.exists(tokens, lambda t: t == "."), F.lit(None)).otherwise(tokens)
 
 
 def malformed_gt(gt: Column) -> Column:

@@ -27,19 +27,16 @@ def raw_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("sample_id"), F.col("lang").alias("individual_id"), F.col("source").alias("contig"), kept.alias("sequence"), F.lit("reference").alias("source"), F.lit(0).cast("long").alias("sequence_start"))
 
 
-def with_document(spark: SparkSession, sf_dir: str, l: DataFrame, name: str, ids: int | None) -> DataFrame:
-    """Line items with a document's id under a name: the order key modulo ids, or (None) modulo the number of documents."""
-    if ids is None:
-        n = table(spark, sf_dir, "documents").agg(F.greatest(F.count("*"), F.lit(1)).alias("__ids"))
-        l = l.crossJoin(F.broadcast(n))  # one row
-    else:
-        l = l.withColumn("__ids", F.lit(ids))
+def with_document(spark: SparkSession, sf_dir: str, l: DataFrame, name: str) -> DataFrame:
+    """Line items with a document's id under a name: the order key modulo the number of documents."""
+    n = table(spark, sf_dir, "documents").agg(F.greatest(F.count("*"), F.lit(1)).alias("__ids"))
+    l = l.crossJoin(F.broadcast(n))  # one row
     return l.withColumn(name, (F.col("l_orderkey") % F.col("__ids")).cast("string")).drop("__ids")
 
 
-def spans(spark: SparkSession, sf_dir: str, ids: int | None = 1000) -> DataFrame:
-    """Line items as mask spans of documents; ids as in with_document."""
-    l = with_document(spark, sf_dir, table(spark, sf_dir, "lineitem"), "sample_id", ids)
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as mask spans of documents."""
+    l = with_document(spark, sf_dir, table(spark, sf_dir, "lineitem"), "sample_id")
     kind = F.when(F.col("l_returnflag") == "A", "filtered").when(F.col("l_returnflag") == "N", "no_call").otherwise("other")
     start = F.col("l_linenumber").cast("long") * 40
     return l.select("sample_id", start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"), kind.alias("category"))

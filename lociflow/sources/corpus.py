@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lociflow.operators.guards import ContractError, mixed_tokenizers, require_columns, require_none
+from lociflow.operators.shared import settled
 from lociflow.plans.contracts import Export, Tokenizer
 
 ORDER = ("locus_id", "contig", "block_start", "window_start", "sample_id", "source")
@@ -73,29 +74,42 @@ def read(spark: SparkSession, path: str, split: str | None = None, max_tokens: i
     return data.select(*(F.slice(c, 1, max_tokens).alias(c) if max_tokens else F.col(c) for c in columns))
 
 
-def shuffled(rows: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
-    """Rows in an order that seed and epoch fix."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)), key)
-
-
-def shard_numbers(windows: DataFrame, shard_size: int) -> DataFrame:
-    """Rows with shard and member numbers: by split, in corpus order, shard_size to a shard.
+def numbered(rows: DataFrame, order: list, by: tuple[str, ...] = (), name: str = "number") -> DataFrame:
+    """Rows with their place in an order, from 0, over all or within each value of `by`, whose columns lead the order.
 
     Rows are ranged by the order; counts of the ranges give each its first
-    number, so no task gets a whole split.
+    number, so no task gets all rows or a whole value. The order is settled by a
+    checkpoint before it is ranged, so that what makes the rows runs once.
+    """
+    ranged = settled(settled(rows).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    keys = [F.col(c) for c in by]
+    parts = ranged.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    # a row for each range and value
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__part").alias("__p"), before.alias("__before"))
+    on = F.col("__part") == F.col("__p")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    here = F.row_number().over(Window.partitionBy("__part", *keys).orderBy(*order))
+    joined = ranged.withColumn("__here", here).join(parts, on)
+    return joined.withColumn(name, (F.col("__before") + F.col("__here") - 1).cast("long")).drop("__part", "__p", "__before", "__here", *(f"__{c}" for c in by))
+
+
+def shuffled(rows: DataFrame, key: str, seed: int, epoch: int, workers: int = 1) -> DataFrame:
+    """Rows with their position in an order that seed and epoch fix, and the worker who reads each, dealt in turn.
+
+    The whole table is shuffled, so no buffer bounds how far a row may move.
     """
+    rank = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(epoch)), F.col(key).cast("string")))
+    got = numbered(rows.withColumn("__rank", rank), [F.col("__rank"), F.col(key)], name="position").drop("__rank")
+    return got.withColumn("worker", F.col("position") % workers)
+
+
+def shard_numbers(windows: DataFrame, shard_size: int) -> DataFrame:
+    """Rows with shard and member numbers: by split, in corpus order, shard_size to a shard."""
     order = [F.col(c) for c in ("split", "contig", "block_start", "window_start", "sample_id", "source")]
-    rows = windows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    from lociflow.operators.shared import settled
-
-    rows = settled(rows)
-    parts = rows.groupBy("split", "__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy("split").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select(F.col("split").alias("__split"), F.col("__part").alias("__p"), before.alias("__before"))
-    here = F.row_number().over(Window.partitionBy("split", "__part").orderBy(*order))
-    number = F.col("__before") + F.col("__here") - 1
-    joined = rows.withColumn("__here", here).join(parts, (F.col("split") == F.col("__split")) & (F.col("__part") == F.col("__p")))
-    return joined.withColumn("shard", F.floor(number / shard_size)).withColumn("member", number % shard_size).drop("__part", "__p", "__split", "__n", "__before", "__here")
+    got = numbered(windows, order, by=("split",), name="__number")
+    return got.withColumn("shard", F.floor(F.col("__number") / shard_size)).withColumn("member", F.col("__number") % shard_size).drop("__number")
 
 
 def write_tar_shards(rows: DataFrame, folder: str, shard_size: int) -> DataFrame:
