@@ -67,7 +67,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = id_crc(F.col("doc_id")) % 5 == 0
     got = toxicity.score(docs, toxicity.train(docs, labels, held_out))
-    return got.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "clauses")
+    return got.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "clauses", "asserted")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
