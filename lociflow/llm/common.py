@@ -136,11 +136,12 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, per_class: int, also: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, label, text) of at most per_class rows of each label outside the held-out rows.
+    """(doc_id, label, text and also) of at most per_class rows of each label outside the held-out rows.
 
     The rows with the smallest hash of their id are taken, so reruns agree.
-    Ids that carry both labels are left out. The ids have a fixed bound, 2 *
-    per_class, and so are broadcast to the one scan of the texts.
+    Ids that carry both labels are left out; of rows that repeat an id the one
+    of the least hash is taken. The ids have a fixed bound, 2 * per_class, and
+    so are broadcast to the one scan of the texts.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("__most"))
     known = known.where("label = __most").select("doc_id", "label")
@@ -148,7 +149,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Co
     for value in (0, 1):
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    return docs.select("doc_id", "text", *also).join(F.broadcast(picked), "doc_id")
+    found = docs.select("doc_id", "text", *also).join(F.broadcast(picked), "doc_id")
+    row = F.min_by(F.struct("text", *also), F.xxhash64("text", *also)).alias("__row")
+    return found.groupBy("doc_id", "label").agg(row).select("doc_id", "label", "__row.*")
 
 
 def logistic(x: np.ndarray) -> np.ndarray:

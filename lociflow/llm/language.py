@@ -14,8 +14,9 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lociflow.llm.common import map_texts
+from lociflow.llm.common import checkpoint, map_texts
 
 UND = "und"
 BUCKETS = 1 << 13
@@ -36,20 +37,20 @@ def has_letter(text: str) -> bool:
     return bool(LETTER.search(text)) or any(map(str.isalpha, text))
 
 
-def features(text: str) -> np.ndarray:
-    """Hashed counts of byte n-grams, damped and of unit length; all zero without letters."""
-    counts = np.zeros(BUCKETS, np.float32)
-    data = text.lower().encode("utf-8", "surrogatepass").translate(_PLAIN)
-    for begin in range(0, len(data), BLOCK):  # in blocks that share three bytes, so that every n-gram counts once
-        b = np.frombuffer(b" " + data if len(data) <= BLOCK else data[max(0, begin - 3) : begin + BLOCK], np.uint8).astype(np.uint32)
+def features(text: str, block: int = BLOCK) -> np.ndarray:
+    """Hashed counts of byte n-grams, damped and of unit length; all zero without letters. The size of blocks changes nothing."""
+    counts = np.zeros(BUCKETS, np.float64)
+    data = b" " + text.lower().encode("utf-8", "surrogatepass").translate(_PLAIN)
+    for begin in range(0, len(data), block):  # in blocks that share three bytes, so that every n-gram counts once
+        b = np.frombuffer(data[max(0, begin - 3) : begin + block], np.uint8).astype(np.uint32)
         h = b * _MULT[0]
         for n in range(1, 4):
             if len(b) <= n:
                 break
             h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + b[n:] * _MULT[n]
-            skip = 3 - n if begin and len(data) > BLOCK else 0
+            skip = min(begin, 3) - n if begin > n else 0
             counts += np.bincount((h[skip:] ^ (h[skip:] >> np.uint32(13))) & np.uint32(BUCKETS - 1), minlength=BUCKETS)
-    np.log1p(counts, out=counts)
+    counts = np.log1p(counts).astype(np.float32)
     norm = float(np.sqrt(counts @ counts))
     return counts / norm if norm else counts
 
@@ -113,40 +114,41 @@ class Coder:
 def train(docs: DataFrame, held_out: Column, per_lang: int = PER_LANG, most: int = MOST_ROWS) -> Coder | None:
     """Fit on at most per_lang rows of each language and `most` rows in all; None without any.
 
-    Rows are drawn by a hash of their id, so reruns agree. The languages are
-    those of the training rows; each gets rows, unless there are over `most`.
+    Rows are drawn by a hash of their id, so reruns agree: first ids, thinned by
+    their language's size, then the texts of those chosen. The languages are
+    those of the training rows with letters; each gets rows. Only beyond `most`
+    languages those with the fewest rows get none, since each needs one.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out)
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out)
     counts = {r[0]: r[1] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     if not counts:
         return None
     per_lang = max(1, min(per_lang, most // len(counts)))
-    langs = sorted(counts)
     share = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 1.5 * per_lang / n + 20 / n))))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.where(F.element_at(share, F.col("lang")) > draw).select("doc_id", "lang", "text")
+    ids = known.where(F.element_at(share, F.col("lang")) > draw).select("doc_id", "lang", F.xxhash64("text").alias("__hash")).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "__hash"))
+    picked = checkpoint(ids.withColumn("__place", place).where(F.col("__place") <= per_lang).drop("__place"))  # at most `most` rows
+    rows = docs.select("doc_id", "lang", "text").withColumn("__hash", F.xxhash64("text"))
+    p = F.broadcast(picked.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), F.col("__hash").alias("__own")))
+    sample = rows.join(p, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("lang") == F.col("__lang")) & (F.col("__hash") == F.col("__own"))).select("doc_id", "lang", "__hash", "text")
 
     def featurise(_, texts):
         out = {"at": [], "x": []}
         for t in texts:
-            x = features(t) if has_letter(t) else np.zeros(0, np.float32)
+            x = features(t)
             at = np.flatnonzero(x)
             out["at"].append(at.astype(np.uint16).tobytes())
             out["x"].append(x[at].astype(np.float16).tobytes())
         return out
 
-    got = map_texts(sample, featurise, "at binary, x binary", keep=("doc_id", "lang")).where("length(at) > 0").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(4 * most).collect()
-    of: dict[str, list] = {}
-    for r in got:
-        if len(of.setdefault(r[1], [])) < per_lang:
-            of[r[1]].append((r[2], r[3]))
-    langs = sorted(of)
-    if not langs:
-        return None
-    y = np.array([i for i, lang in enumerate(langs) for _ in of[lang]])
+    got = map_texts(sample, featurise, "at binary, x binary", keep=("doc_id", "lang", "__hash")).dropDuplicates(["doc_id", "lang", "__hash"]).collect()
+    got.sort(key=lambda r: (r[1], r[0] is None, r[0], r[2]))
+    langs = sorted({r[1] for r in got})
+    y = np.array([langs.index(r[1]) for r in got])
     x = np.zeros((len(y), BUCKETS), np.float32)
-    for row, (at, v) in zip(x, (r for lang in langs for r in of[lang])):
-        row[np.frombuffer(at, np.uint16)] = np.frombuffer(v, np.float16)
+    for row, r in zip(x, got):
+        row[np.frombuffer(r[3], np.uint16)] = np.frombuffer(r[4], np.float16)
     return Coder(langs).fit(x, y)
 
 

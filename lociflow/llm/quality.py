@@ -12,6 +12,7 @@ linear in the number of features.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 
@@ -26,8 +27,9 @@ BINS = 12
 RANK = 8
 #: Bound of the training sample: rows of each label.
 PER_CLASS = 2000
-#: Words are counted in blocks of this many characters, cut at white space.
+#: Words are counted in blocks of about this many characters, so that a long text's words aren't all held at once.
 BLOCK = 1 << 20
+SPACE = re.compile(r"\s")
 
 STATS = ("length", "upper", "digit", "symbol", "pipe", "mean_word", "distinct", "repeat_next", "repeat_line", "line_words", "non_ascii", "top_word")
 
@@ -52,27 +54,29 @@ class Words(dict):
         return got
 
 
-def blocks(text: str):
+def blocks(text: str, size: int = BLOCK):
+    """Parts of a text, each cut at the first white space after `size` characters, so that no word is cut."""
     begin = 0
-    while len(text) - begin > BLOCK:
-        end = begin + BLOCK
-        cut = max(text.rfind(" ", begin, end), text.rfind("\n", begin, end))
-        end = cut if cut > begin else end
-        yield text[begin:end]
-        begin = end
+    while len(text) - begin > size and (m := SPACE.search(text, begin + size)):
+        yield text[begin : m.start()]
+        begin = m.start()
     yield text[begin:]
 
 
-def features(text: str, meta: list, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values of one document's features."""
+def features(text: str, meta: list, words: Words, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and values of one document's features; the size of blocks changes nothing."""
     counts: Counter = Counter()
     n = same = chars = 0
-    for b in blocks(text):
+    last = None
+    for b in blocks(text, size):
         w = b.split()
+        if not w:
+            continue
         counts.update(w)
         n += len(w)
         chars += sum(map(len, w))
-        same += sum(map(str.__eq__, w, w[1:]))
+        same += sum(map(str.__eq__, w, w[1:])) + (last == w[0])
+        last = w[-1]
     kinds = np.bincount(_CLASS[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)], minlength=9)
     total, ink = max(1, kinds.sum()), max(1, kinds.sum() - kinds[4])
     lines = text.split("\n")
@@ -92,7 +96,7 @@ def features(text: str, meta: list, words: Words) -> tuple[np.ndarray, np.ndarra
     )
     at = [BUCKETS + k * BINS + min(BINS - 1, int(np.sqrt(max(0.0, s)) * BINS)) for k, s in enumerate(stats)]
     first = BUCKETS + len(STATS) * BINS
-    at += [first + k * 64 + (63 if v is None else min(62, int(np.log2(1 + abs(float(v)))))) for k, v in enumerate(meta)]
+    at += [first + k * 64 + (63 if v is None or v != v else int(min(62.0, np.log2(1 + abs(float(v)))))) for k, v in enumerate(meta)]
     hashed = np.fromiter({words[w] for w in counts}, np.int64)
     values = np.full(len(hashed), 1 / np.sqrt(max(1, len(hashed))), np.float32)
     return np.concatenate([hashed, at]), np.concatenate([values, np.ones(len(at), np.float32)])
@@ -168,8 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, metadata: tuple[
 def score(docs: DataFrame, machine: Machine, metadata: tuple[str, ...] = (), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and score (0 to 1) of every row.
 
-    Null and empty texts are scored by their structure alone; null metadata has
-    a bin of its own; repeated rows get equal scores; an empty table gives an
+    Null and empty texts are scored by their structure alone; null metadata and
+    NaN have a bin of their own; repeated rows get equal scores; an empty table gives an
     empty table. Columns beyond `keep`, metadata and text are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
