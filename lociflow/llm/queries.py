@@ -56,7 +56,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.join(table(spark, sf_dir, "documents"))
+    return similar.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,10 @@ wanted at the threshold, and band hashes are shuffled. Within a bucket the full
 signatures are compared, large buckets in pairs of blocks; sets that may be
 similar are joined into candidate groups by spanning links only. Within a
 group, again in pairs of blocks, every pair is verified on its full n-gram
-sets. What leaves a block is each set's number of links and a spanning link, so
-no stage makes rows for all pairs of a group.
+sets. Blocks are bounded by rows and by bytes, so that a group is sent as seldom
+as memory allows. What leaves a block is each set's number of links and a
+spanning tree of small degree, so no stage makes rows for all pairs of a group,
+and no node is hot.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import checkpoint, gram_hashes, map_texts, mix, word_hashes
+from lociflow.llm.common import checkpoint, gram_hashes, map_texts, mix, stored, word_hashes
 from lociflow.llm.components import components
 
 NGRAM = 5
@@ -28,9 +30,16 @@ THRESHOLD = 0.8
 #: Share of the pairs at the threshold that must meet in a bucket.
 RECALL = 0.9999
 MOST_HASHES = 160
-#: Rows of a block of signatures, and of n-gram sets.
-SIG_BLOCK = 2048
-SET_BLOCK = 128
+#: Rows of a block of signatures, and rows and n-grams of a block of n-gram sets (8 bytes each).
+SIG_BLOCK = 8192
+SET_BLOCK = 512
+SET_GRAMS = 1_000_000
+#: Children of a node in the trees that span what is linked.
+FAN = 32
+#: Keys over which a large group is dealt where its size is joined.
+SALTS = 8
+#: Copies of more than one in so many rows are a hot set: there are at most so many.
+HOT_SETS = 1000
 #: N-grams that are compared at a time.
 COLUMNS = 8192
 
@@ -75,14 +84,15 @@ _PERMUTATIONS: dict = {}
 
 
 def sketches(docs: DataFrame, bands: int, rows: int, n: int = NGRAM) -> DataFrame:
-    """doc_id, key of the n-gram set, band hashes, and one byte of each signature value."""
+    """doc_id, text_hash, key and size of the n-gram set, band hashes, and one byte of each signature value."""
     seeds = mix(np.arange(1, bands + 1, dtype=np.uint64))
 
     def go(_, texts):
-        out = {"key": [], "bands": [], "sig": []}
+        out = {"key": [], "size": [], "bands": [], "sig": []}
         for t in texts:
             grams = ngram_set(t, n)
-            out["key"].append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
+            out["key"].append(set_key(grams))
+            out["size"].append(len(grams))
             s = signature(grams, bands * rows)
             h = seeds.copy()
             for r in range(rows):
@@ -91,7 +101,11 @@ def sketches(docs: DataFrame, bands: int, rows: int, n: int = NGRAM) -> DataFram
             out["sig"].append((mix(s) >> np.uint64(56)).astype(np.uint8).tobytes())
         return out
 
-    return map_texts(docs.where("doc_id is not null"), go, "key binary, bands array<long>, sig binary")
+    return map_texts(docs.where("doc_id is not null"), go, "key binary, size long, bands array<long>, sig binary", keep=("doc_id", "text_hash"))
+
+
+def set_key(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -124,11 +138,26 @@ def _groups(batches, names: list[str]) -> Iterator[list[np.ndarray | pa.Array]]:
         yield [c.combine_chunks() for c in held.columns]
 
 
-def _dealt(df: DataFrame, group: str, size: str, node: str, most: int) -> DataFrame:
-    """Rows of groups of over `most` rows go once to each pair of blocks; `cell` names group and pair."""
-    blocks = F.ceil(F.col(size) / F.lit(most)).cast("int")
-    own = F.pmod(F.xxhash64(node), blocks).cast("int")
-    return df.withColumn("__blocks", blocks).withColumn("__own", own).withColumn("__with", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).withColumn("cell", F.xxhash64(group, F.least("__own", "__with"), F.greatest("__own", "__with"))).drop("__blocks", "__with")
+def _tree(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(parent, child) rows of a tree over the rows of each label, of at most FAN children a node."""
+    order = np.argsort(label, kind="stable")
+    sorted_ = label[order]
+    first = np.flatnonzero(np.diff(sorted_, prepend=sorted_[0] - 1 if len(sorted_) else 0))
+    place = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
+    child = np.flatnonzero(place > 0)
+    parent = child - place[child] + (place[child] - 1) // FAN
+    return order[parent], order[child]
+
+
+def _dealt(df: DataFrame, group: str, node: str, blocks) -> DataFrame:
+    """Rows of groups of more than one block go once to each pair of blocks; `cell` names group and pair."""
+    df = df.withColumn("__blocks", blocks)
+    own = F.pmod(F.xxhash64(node), F.col("__blocks")).cast("int")
+    return df.withColumn("__own", own).withColumn("__with", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).withColumn("cell", F.xxhash64(group, F.least("__own", "__with"), F.greatest("__own", "__with"))).drop("__blocks", "__with")
+
+
+def _blocks(size: str, most: int):
+    return F.ceil(F.col(size) / F.lit(most)).cast("int")
 
 
 def candidate_links(reps: DataFrame, bands: int, rows: int, threshold: float, block: int = SIG_BLOCK) -> DataFrame:
@@ -141,9 +170,12 @@ def candidate_links(reps: DataFrame, bands: int, rows: int, threshold: float, bl
     # bytes agree by chance once in 256
     least = int(np.floor(hashes * (threshold - 5 * np.sqrt(threshold * (1 - threshold) / hashes))))
     entries = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    inside = entries.join(shared, "bucket").join(reps.select(F.col("rep").alias("__rep"), "sig"), F.col("rep") == F.col("__rep")).select("bucket", "size", "rep", "sig")
-    dealt = _dealt(inside, "bucket", "size", "rep", block).select("cell", "rep", "sig")
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("sets")).where("sets > 1")
+    # entries of a large bucket are dealt over SALTS keys
+    shared = shared.select("bucket", "sets", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    entries = entries.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    inside = entries.join(shared, ["bucket", "salt"]).join(reps.select(F.col("rep").alias("__rep"), "sig"), F.col("rep") == F.col("__rep")).select("bucket", "sets", "rep", "sig")
+    dealt = _dealt(inside, "bucket", "rep", _blocks("sets", block)).select("cell", "rep", "sig")
 
     def go(batches):
         for cell, rep, sig in _groups(batches, ["cell", "rep", "sig"]):
@@ -164,9 +196,8 @@ def candidate_links(reps: DataFrame, bands: int, rows: int, threshold: float, bl
                     found_a.append(x)
                     found_b.append(x + d)
             if found_a:
-                label = _labels(len(rep), np.concatenate(found_a), np.concatenate(found_b))
-                at = np.flatnonzero(rep != rep[label])
-                yield pa.RecordBatch.from_pydict({"a": rep[label[at]], "b": rep[at]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+                up, down = _tree(_labels(len(rep), np.concatenate(found_a), np.concatenate(found_b)))
+                yield pa.RecordBatch.from_pydict({"a": rep[up], "b": rep[down]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(go, "a long, b long")
 
@@ -195,7 +226,7 @@ def _verify(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def verified_links(members: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, links): for each set of a cell its number of similar sets and a spanning link.
+    """(a, b, links): for each set of a cell its number of similar sets and a link of a spanning tree (a = b at its root).
 
     members: cell, own (the row's block), rep, grams. Pairs within a block
     count only in the cell of that block with itself.
@@ -215,9 +246,11 @@ def verified_links(members: DataFrame, threshold: float) -> DataFrame:
                     alike &= mine[:, None] != mine[None]
                 n = alike.sum(1)
                 if n.any():
-                    label = _labels(j - i, *np.nonzero(alike))
+                    up, down = _tree(_labels(j - i, *np.nonzero(alike)))
+                    to = np.arange(j - i)
+                    to[down] = up
                     at = np.flatnonzero(n)
-                    out_a.append(rep[i:j][label[at]])
+                    out_a.append(rep[i:j][to[at]])
                     out_b.append(rep[i:j][at])
                     out_n.append(n[at])
             if out_a:
@@ -226,36 +259,75 @@ def verified_links(members: DataFrame, threshold: float) -> DataFrame:
     return members.select("cell", "__own", "rep", "grams").repartition("cell").sortWithinPartitions("cell").mapInArrow(go, "a long, b long, links long")
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, sig_block: int = SIG_BLOCK, set_block: int = SET_BLOCK) -> DataFrame:
-    """doc_id, class_id, copy_id, n_copies and n_links of every document with an id.
+def _sets(drawn: DataFrame) -> tuple[DataFrame, bool]:
+    """(one row for each n-gram set, whether ids repeat with other sets).
+
+    A set is known by `node`: the least id of its rows, or, where sets share
+    that id, a hash of the set's key. Copies are told apart by aggregation
+    alone, so a set of very many copies is joined with nothing.
+    """
+    least = F.min_by(F.struct("doc_id", "text_hash", "size", "bands", "sig"), F.struct("doc_id", "text_hash")).alias("m")
+    named = stored(drawn.groupBy("key").agg(least, F.count("*").alias("n_copies")).select("key", "n_copies", F.col("m.doc_id").alias("copy_id"), F.col("m.text_hash").alias("copy_hash"), "m.size", "m.bands", "m.sig"))
+    again = named.groupBy(F.col("copy_id").alias("again")).agg(F.count("*").alias("sets")).where("sets > 1").drop("sets")
+    if not again.limit(1).collect():
+        return named.withColumn("rep", F.col("copy_id")), False
+    node = F.when(F.col("again").isNotNull(), F.xxhash64("key")).otherwise(F.col("copy_id"))
+    return stored(named.join(again, F.col("copy_id") == F.col("again"), "left").withColumn("rep", node).drop("again")), True
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, sig_block: int = SIG_BLOCK, set_block: int = SET_BLOCK, set_grams: int = SET_GRAMS) -> DataFrame:
+    """doc_id, class_id, copy_id, n_copies, n_links, text_hash and first of every document with an id.
 
     copy_id is the least id with the same n-gram set, n_copies the rows that
     share it. n_links is the number of other n-gram sets whose Jaccard
     similarity is at least the threshold. class_id is the least id that links
-    lead to. Null texts, empty ones and those without words are copies of each
-    other and have no links. Rows without an id can't be named in a link and
-    are left out; rows that repeat an id are copies if their texts are. An empty
-    table gives an empty table. doc_id must be an integer; other columns are not
-    read.
+    lead to, and `first` marks the row (by id and hash of its text) that stands
+    for its class. Null texts, empty ones and those without words are copies of
+    each other and have no links. Rows without an id can't be named in a link
+    and are left out; rows that repeat an id are copies if their texts are, and
+    sets of their own if not. An empty table gives an empty table. doc_id must
+    be an integer; other columns are not read.
     """
     bands, rows = choose_bands(threshold, recall)
-    drawn = checkpoint(sketches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bands, rows, n))
-    copies = drawn.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
-    reps = checkpoint(drawn.join(copies, "key").where("doc_id = rep").select("key", "rep", "n_copies", "bands", "sig").dropDuplicates(["key"]))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    drawn = stored(sketches(source, bands, rows, n))
+    total = drawn.count()
+    reps, repeated = _sets(drawn)
     links = checkpoint(candidate_links(reps, bands, rows, threshold, sig_block))
     groups = components(links)
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    placed = groups.join(sizes, "component").select("component", "size", F.col("node").alias("rep"))
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    grams = map_texts(wanted, lambda _, texts: {"grams": [ngram_set(t, n).tobytes() for t in texts]}, "grams binary")
-    inside = placed.join(grams, F.col("rep") == F.col("doc_id")).select("component", "size", "rep", "grams").dropDuplicates(["rep"])
-    found = checkpoint(verified_links(_dealt(inside, "component", "size", "rep", set_block), threshold))
+    sized = groups.join(reps.select("rep", "size", "copy_id", "key"), F.col("node") == F.col("rep")).select("component", "rep", "copy_id", "key", "size")
+    sized = checkpoint(sized.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")))
+    sizes = sized.groupBy("component").agg(F.count("*").alias("sets"), F.sum("size").alias("grams"))
+    sizes = sizes.select("component", F.greatest(_blocks("sets", set_block), _blocks("grams", set_grams)).alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    placed = sized.join(sizes, ["component", "salt"]).select("component", "blocks", "rep", F.col("copy_id").alias("__id"), F.col("key").alias("__key"))
+    wanted = source.join(placed.select(F.col("__id").alias("doc_id")), "doc_id", "left_semi")
+
+    def full(_, texts):
+        found = [ngram_set(t, n) for t in texts]
+        return {"key": [set_key(g) for g in found], "grams": [g.tobytes() for g in found]}
+
+    grams = map_texts(wanted, full, "key binary, grams binary")
+    inside = placed.join(grams, (F.col("__id") == F.col("doc_id")) & (F.col("__key") == F.col("key"))).select("component", "blocks", "rep", "grams").dropDuplicates(["rep"])
+    found = checkpoint(verified_links(_dealt(inside, "component", "rep", F.col("blocks")), threshold))
     counts = found.groupBy("b").agg(F.sum("links").alias("n_links"))
     classes = components(found.where("a <> b").select("a", "b"))
     whole = (
-        reps.select("key", "rep", "n_copies")
+        reps.select("key", "rep", "copy_id", "copy_hash", "n_copies")
         .join(counts, F.col("rep") == F.col("b"), "left")
         .join(classes, F.col("rep") == F.col("node"), "left")
-        .select("key", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("copy_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("key", "copy_id", "copy_hash", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "rep").alias("class_id"))
     )
-    return drawn.select("doc_id", "key").join(whole, "key").select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
+    if repeated:  # nodes are no ids: the class is named by its least id, and its first set by id and key
+        whole = stored(whole)
+        least = whole.groupBy(F.col("class_id").alias("__class")).agg(F.min(F.struct("copy_id", "key")).alias("__least"))
+        whole = whole.join(least, F.col("class_id") == F.col("__class")).select("key", "copy_id", "copy_hash", "n_copies", "n_links", F.col("__least.copy_id").alias("class_id"), (F.col("key") == F.col("__least.key")).alias("leads"))
+    else:
+        whole = whole.withColumn("leads", F.col("copy_id") == F.col("class_id"))
+    whole = stored(whole)
+    # sets of very many copies are few, by their definition, and so are broadcast; no other key is hot
+    hot = F.col("n_copies") * HOT_SETS > total
+    mine = drawn.select("doc_id", "text_hash", "key")
+    common = mine.join(F.broadcast(whole.where(hot)), "key")
+    rare = mine.join(F.broadcast(whole.where(hot).select("key")), "key", "left_anti").join(whole.where(~hot), "key")
+    first = F.col("leads") & (F.col("doc_id") == F.col("copy_id")) & (F.col("text_hash") == F.col("copy_hash"))
+    return common.unionByName(rare).select("doc_id", "class_id", "copy_id", "n_copies", "n_links", "text_hash", first.alias("first"))

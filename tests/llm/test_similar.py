@@ -51,9 +51,52 @@ def test_join_equals_all_pairs(spark):
     rows = list(enumerate(texts))
     want = plain(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for sig, block in ((similar.SIG_BLOCK, similar.SET_BLOCK), (16, 8)):
-        got = {r.doc_id: (r.class_id, r.copy_id, r.n_copies, r.n_links) for r in similar.join(docs, sig_block=sig, set_block=block).collect()}
-        assert got == want
+    for sig, block, grams in ((similar.SIG_BLOCK, similar.SET_BLOCK, similar.SET_GRAMS), (16, 8, similar.SET_GRAMS), (2000, 300, 700)):
+        got = similar.join(docs, sig_block=sig, set_block=block, set_grams=grams).collect()
+        assert {r.doc_id: (r.class_id, r.copy_id, r.n_copies, r.n_links) for r in got} == want and len(got) == len(want)
+        assert sorted(r.doc_id for r in got if r.first) == sorted({c for c, *_ in want.values()})
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    """Texts of one id that are not alike are sets of their own; one row of each class is first."""
+    base = " ".join(f"w{i}" for i in range(60))
+    near, other = base + " more", " ".join(f"u{i}" for i in range(40))
+    rows = [(5, base), (5, other), (5, base), (7, near), (5, other.replace(" ", "  ")), (9, other), (3, "alone")]
+    got = similar.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    seen = sorted((r.doc_id, r.class_id, r.n_copies, r.n_links) for r in got.collect())
+    assert seen == sorted([(5, 5, 2, 1), (5, 5, 2, 1), (7, 5, 1, 1), (5, 5, 3, 0), (5, 5, 3, 0), (9, 5, 3, 0), (3, 3, 1, 0)])
+    firsts = got.where("first").select("doc_id", "text_hash").distinct().collect()
+    assert sorted(r.doc_id for r in firsts) == [3, 5, 5]
+
+
+def test_trees_span_their_labels():
+    rng = np.random.RandomState(1)
+    for n in (1, 2, 40, 3000):
+        label = rng.randint(0, max(1, n // 700) + 1, n)
+        up, down = similar._tree(label)
+        assert (label[up] == label[down]).all() and len(down) == n - len(set(label.tolist())) and len(set(down.tolist())) == len(down)
+        assert np.bincount(up, minlength=n).max(initial=0) <= similar.FAN
+        reach = similar._labels(n, up, down)
+        assert len(set(reach.tolist())) == len(set(label.tolist()))
+
+
+def test_recall_by_band_of_similarity(spark):
+    """Pairs of sets at 0.8 to 1, whose similarity is known by their making: all are found; below 0.8 none."""
+    rng = random.Random(9)
+    rows, like = [], {}
+    for i in range(300):
+        grams = 100 + rng.randrange(200)
+        a = [f"a{i}x{k}" for k in range(grams)]
+        cut = rng.randrange(0, grams // 4)
+        b = a[: grams - cut] + [f"b{i}x{k}" for k in range(cut)]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        x, y = (set(similar.ngram_set(" ".join(t)).tolist()) for t in (a, b))
+        like[2 * i] = len(x & y) / len(x | y)
+    got = {r.doc_id: r.n_links for r in similar.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.0)):
+        inside = [i for i, j in like.items() if low <= j < high]
+        assert len(inside) > 5 and sum(got[i] for i in inside) == len(inside)
+    assert not any(got[i] for i, j in like.items() if j < 0.8)
 
 
 def test_bands_reach_the_recall():
