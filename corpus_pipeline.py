@@ -40,14 +40,14 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least id of each group of near copies.
 
-    Of rows that repeat an id one stays; rows without an id can't be in a
-    group, and stay.
+    Of rows that repeat an id and text one stays; rows that repeat an id with
+    other text are documents of their own. Texts without words are copies of
+    each other. Rows without an id can't be in a group, and stay.
     """
-    found = similar.join(docs)
-    first = found.where("doc_id = class_id").select("doc_id").distinct()
-    docs = docs.select(*COLUMNS)
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+    first = similar.join(docs).where("first").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__first")).distinct()
+    rows = docs.select(*COLUMNS).withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = rows.join(first, (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__first")), "left_semi").dropDuplicates(["doc_id", "__hash"])
+    return kept.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 
 def remove_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
