@@ -1,9 +1,17 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-Every k words in a row are hashed; of each window of w such hashes the least is
-chosen, the rightmost among equal ones, and kept with its position. Two texts
-that share k + w - 1 words in a row share a fingerprint, whatever surrounds
-them, and no match shorter than k words is seen.
+Every word is hashed once. The hash of k words in a row is the rolling one,
+
+    h(i) = sum over j < k of word(i + j) * BASE ** (k - 1 - j)   mod PRIME,
+
+made for all places at once: runs of 1, 2, 4, ... words are joined from runs of
+half their length by one multiplication, so a place costs about log k steps and
+no word is hashed again. (Subtracting the word that leaves, place by place,
+gives the same number; as an expression over an array it would copy the array
+at each step.) Of each window of w such hashes the least is chosen, the
+rightmost among equal ones, and kept with its position. Two texts that share
+k + w - 1 words in a row share a fingerprint, whatever surrounds them, and no
+match shorter than k words is seen.
 
 A hash and its position are one positive long: 31 bits of hash above 32 bits
 that fall as the position grows, so the least long is the least hash and, among
@@ -22,6 +30,8 @@ K = 5
 WINDOW = 16
 SPACE = "\t\n\x0b\x0c\r "
 LAST = (1 << 32) - 1
+PRIME = (1 << 31) - 1
+BASE = 1_000_003
 
 
 def _let(value: Column, use) -> Column:
@@ -35,6 +45,27 @@ def words(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
 
 
+def rolling(values: Column, k: int) -> Column:
+    """Rolling hashes of the runs of k values, from the values (an array of at least k)."""
+
+    def join(a: Column, n: int, b: Column, m: int) -> Column:
+        """Runs of n + m from runs of n, and runs of m that begin n later."""
+        places = F.size(b) - n
+        return F.zip_with(F.slice(a, 1, places), F.slice(b, n + 1, places), lambda x, y: (x * F.lit(pow(BASE, m, PRIME)) + y) % F.lit(PRIME))
+
+    def grow(power: Column, n: int, done: Column | None, m: int) -> Column:
+        """power: runs of n; done: runs of the low m values of k's binary form that are joined already."""
+        rest = k // n
+        if rest & 1:
+            done, m = (power, n) if done is None else (join(power, n, done, m), n + m)
+        if rest == 1:
+            return done
+        double = lambda d: _let(join(power, n, power, n), lambda p: grow(p, 2 * n, d, m))
+        return double(None) if done is None else _let(done, double)
+
+    return _let(values, lambda v: grow(v, 1, None, 0))
+
+
 def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
     """The chosen hashes with their positions, in order of position; window is a power of two.
 
@@ -44,13 +75,12 @@ def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
     if window & (window - 1) or window < 1:
         raise ValueError("window must be a power of two")
 
-    def grams(w: Column) -> Column:
-        last = F.size(w) - k
-        packed = F.transform(
-            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-            lambda i: F.shiftrightunsigned(F.xxhash64(*(F.get(w, i + j) for j in range(k))), 33).bitwiseAND(F.lit((1 << 31) - 1)).cast("long") * F.lit(1 << 32) + (F.lit(LAST) - i.cast("long")),
-        )
-        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(packed)
+    def grams(values: Column) -> Column:
+        short = F.aggregate(values, F.lit(0).cast("long"), lambda h, v: (h * F.lit(BASE) + v) % F.lit(PRIME))
+        return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).when(F.size(values) < k, F.array(short)).otherwise(rolling(values, k))
+
+    def packed(hashed: Column) -> Column:
+        return F.transform(hashed, lambda h, i: h * F.lit(1 << 32) + (F.lit(LAST) - i.cast("long")))
 
     def least(step: int):
         return lambda a: F.zip_with(a, F.slice(a, step + 1, F.greatest(F.size(a), F.lit(1))), lambda x, y: F.least(x, y))
@@ -61,7 +91,8 @@ def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
             out, step = _let(out, least(step)), 2 * step
         return F.array_distinct(F.slice(out, 1, F.greatest(F.size(g) - (window - 1), F.lit(1))))
 
-    return _let(_let(words(text), grams), chosen)
+    values = F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME)))
+    return _let(packed(_let(values, grams)), chosen)
 
 
 def hashes(chosen: Column) -> Column:
