@@ -28,7 +28,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.llm.common import checkpoint, map_texts, texts_of
@@ -196,7 +196,8 @@ def revealing_terms(docs: DataFrame, support: int = SUPPORT, threshold: float =
     the parts of their values. Terms count outside base spans only, with an
     entity and over the corpus alike. Counts over the corpus are summed by task
     before the shuffle; `most` bounds the candidates that are broadcast to that
-    scan, and beyond it the counts of all terms are joined to them. A null text
+    scan, and beyond it the counts of all terms are joined to them. Terms that
+    fail by their documents with entities alone are no candidates. A null text
     holds no terms.
     """
     spark = docs.sparkSession
@@ -221,9 +222,15 @@ def revealing_terms(docs: DataFrame, support: int = SUPPORT, threshold: float =
     common = sizes.where(F.col("texts") >= support).select("entity", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = per.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(common, ["entity", "salt"])
     met = salted.select("entity", "copies", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_ct"))
-    met = met.where(F.col("texts") >= support).withColumn("linked", F.lit(0))
+    met = checkpoint(met.where(F.col("texts") >= support).withColumn("linked", F.lit(0)))
+    # a term stands in no fewer documents than those that hold an entity, so most chance meetings go without a look at the corpus
+    rung = F.endswith("term", F.lit("*"))
+    beside = held.select("copies", F.explode("terms").alias("beside")).groupBy("beside").agg(F.sum("copies").alias("n_beside"))
+    words = met.where(~rung).join(beside, F.col("term") == F.col("beside")).where(F.col("n_ct") >= SURE * F.col("n_beside")).select(*met.columns)
+    needed = words.select("entity", F.explode(_rungs(F.col("term"))).alias("term")).distinct()
+    steps = met.where(rung).join(needed, ["entity", "term"], "left_semi")
     own = held.select("copies", F.inline("linked")).groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_ct")).withColumn("linked", F.lit(1))
-    pairs = met.unionByName(own).groupBy("entity", "term").agg(*(F.max(c).alias(c) for c in ("texts", "n_ct", "linked")))
+    pairs = words.unionByName(steps).unionByName(own).groupBy("entity", "term").agg(*(F.max(c).alias(c) for c in ("texts", "n_ct", "linked")))
     pairs = checkpoint(pairs.join(sizes.select("entity", "n_c"), "entity"))
     few = [r[0] for r in pairs.select("term").distinct().limit(most + 1).collect()]
     if not few:
@@ -236,8 +243,7 @@ def revealing_terms(docs: DataFrame, support: int = SUPPORT, threshold: float =
     scored = checkpoint(scored.withColumn("evidence", F.col("texts") * pmi))
     proven = (F.col("linked") == 1) | (F.col("evidence") >= F.log(F.lit(looked_at)))
     shown = scored.where((F.col("disclosure") >= threshold) & (F.col("n_ct") >= SURE * F.col("n_t")) & proven & ~F.endswith("term", F.lit("*")))
-    step = F.posexplode(F.array(*(F.when(F.length("term") > k, F.concat(F.substring("term", 1, k), F.lit("*"))) for k in RUNGS))).alias("at", "rung")
-    ladder = shown.where(~F.startswith("term", F.lit("#"))).select("entity", F.col("term").alias("word"), step).where("rung IS NOT NULL")
+    ladder = shown.select("entity", F.col("term").alias("word"), F.posexplode(_rungs(F.col("term"))).alias("at", "rung"))
     ladder = ladder.join(scored.select("entity", F.col("term").alias("rung"), F.col("disclosure").alias("left")), ["entity", "rung"])
     # a rung is safe if it is so for every entity that the word reveals
     safe = ladder.groupBy("word", "at", "rung").agg(F.max("left").alias("left")).where(F.col("left") < threshold)
@@ -246,6 +252,12 @@ def revealing_terms(docs: DataFrame, support: int = SUPPORT, threshold: float =
     return found.join(safe, F.col("term") == F.col("word"), "left").select("term", "disclosure", "instead")
 
 
+def _rungs(term: Column) -> Column:
+    """rungs() as a column."""
+    each = F.array(*(F.when((F.length(term) > k) & ~F.startswith(term, F.lit("#")), F.concat(F.substring(term, 1, k), F.lit("*"))) for k in RUNGS))
+    return F.array_compact(each)
+
+
 def _document_counts(docs: DataFrame, wanted) -> DataFrame:
     """(term, n_t): in how many documents each term and rung stands outside base spans; sums of tasks with bounded tables are added up.
 
