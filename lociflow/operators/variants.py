@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.functions import variants as V
-from lociflow.operators.guards import reference_mismatches, require_none, unknown_contigs
+from lociflow.operators.guards import ContractError, reference_mismatches, require_none, unknown_contigs
 
 
 def passing_snps(calls: DataFrame, on_bad: str = "raise", check: bool = True) -> DataFrame:
@@ -32,6 +32,21 @@ def with_reference(loci: DataFrame, tiles: DataFrame, tile_size: int) -> DataFra
     return joined.withColumn("base", base)
 
 
+#: What is wrong with a call at a passing SNP, in the order in which it is told.
+OFFENCES = ("alleles outside ACGTN", "FORMAT holds no GT", "malformed genotype", "genotype is not diploid")
+
+
+def _first_offence(calls: DataFrame) -> str | None:
+    """The first of OFFENCES that some call with `gt` commits, and the first such call."""
+    tests = (~V.known_alleles(F.col("ref"), F.col("alt")), ~F.array_contains(F.split("format", ":"), "GT"), V.malformed_gt(F.col("gt")), F.size(V.gt_tokens(F.col("gt"))) != 2)
+    which = None
+    for i, test in enumerate(tests):
+        which = F.when(test, i) if which is None else which.when(test, i)
+    snps = calls.where(V.passing(F.col("filter")) & V.is_snp(F.col("ref"), F.col("alt")))
+    worst = snps.select(F.struct(which.alias("which"), "line_no", "contig", "pos", "ref", "alt", "sample_id", "format", "gt").alias("row")).where("row.which IS NOT NULL").agg(F.min("row")).first()[0]
+    return f"{OFFENCES[worst.which]}: {({k: v for k, v in worst.asDict().items() if k != 'which'})}" if worst else None
+
+
 def allele_windows(calls: DataFrame, tiles: DataFrame, tile_size: int, check: bool = True) -> DataFrame:
     """One window for each carried allele of each call, reference before alternate.
 
@@ -39,19 +54,17 @@ def allele_windows(calls: DataFrame, tiles: DataFrame, tile_size: int, check: bo
     on unknown contigs, foreign alleles, missing GT keys, malformed or
     non-diploid calls, and a reference base other than REF, in this order;
     missing and homozygous-reference calls have no window, nor do loci too near
-    a contig's end.
+    a contig's end. The checks of rows are one pass over the calls: each row has
+    its first offence, and the least of all is told; contigs and reference bases
+    take a join each.
     """
+    calls = calls.withColumn("gt", V.format_value(F.col("format"), F.col("field")))
     if check:
         require_none(unknown_contigs(calls, tiles), "a record's contig is not in the reference")
-    snps = passing_snps(calls, "raise", check)
-    keys = F.split("format", ":")
-    if check:
-        require_none(snps.where(~F.array_contains(keys, "GT")).select("contig", "pos", "format"), "FORMAT holds no GT")
-    snps = snps.withColumn("gt", V.format_value(F.col("format"), F.col("field")))
-    tokens = V.gt_tokens(F.col("gt"))
-    if check:
-        require_none(snps.where(V.malformed_gt(F.col("gt"))).select("contig", "pos", "sample_id", "gt"), "malformed genotype")
-        require_none(snps.where(F.size(tokens) != 2).select("contig", "pos", "sample_id", "gt"), "genotype is not diploid")
+        offence = _first_offence(calls)
+        if offence:
+            raise ContractError(offence)
+    snps = passing_snps(calls, "raise", check=False)
     carried = snps.withColumn("__carried", V.carried_alleles(F.col("gt"), F.col("ref"), F.col("alt"))).where(F.size("__carried") > 0)
     placed = with_reference(carried, tiles, tile_size)
     if check:

@@ -38,6 +38,20 @@ class CorpusPlan:
             raise ValueError("species names must differ")
 
 
+def resolved(path: str, base: str | Path) -> str:
+    """An absolute path, or one with a scheme, as it is; others stand relative to the folder of the settings."""
+    return path if "://" in path else str((Path(base) / path).resolve())
+
+
+def peak_bytes(raw: int, platform: str) -> int:
+    """Peak resident memory in bytes: Linux tells it in kilobytes, macOS in bytes."""
+    if platform.startswith("linux"):
+        return raw * 1024
+    if platform == "darwin":
+        return raw
+    raise ValueError(f"unknown unit of memory on {platform}")
+
+
 def _only(kind: type, table: dict, where: str):
     known = {f.name for f in fields(kind)}
     extra = sorted(set(table) - known)
@@ -51,7 +65,7 @@ def corpus_plan(path: str | Path) -> CorpusPlan:
     path = Path(path)
     with path.open("rb") as f:
         raw = tomllib.load(f)
-    at = lambda p: p if "://" in p else str((path.parent / p).resolve())
+    at = lambda p: resolved(p, path.parent)
     prep = dict(raw.get("preprocessing", {}))
     if "overlap" in prep:
         prep["window_stride"] = prep.get("window_size", 512) - prep.pop("overlap")
@@ -86,5 +100,64 @@ def genotype_plan(path: str | Path) -> GenotypePlan:
     with path.open("rb") as f:
         raw = tomllib.load(f)
     plan = _only(GenotypePlan, raw.get("genotype", raw), "genotype")
-    at = lambda p: p if "://" in p else str((path.parent / p).resolve())
+    at = lambda p: resolved(p, path.parent)
     return GenotypePlan(at(plan.vcf), at(plan.metadata), at(plan.output), plan.trials, plan.seed, plan.ves_mode, at(plan.scores) if plan.scores else None, plan.top_k)
+
+
+#: What may stand in for a missing padding token.
+PAD_FALLBACKS = ("eos", "unk", "add_pad")
+
+
+@dataclass(frozen=True)
+class TrainingPlan:
+    """Settings of continued pre-training on a corpus: checked here, and run elsewhere."""
+
+    corpus: str
+    model_identifier: str
+    model_revision: str
+    max_steps: int
+    output: str = "models"
+    max_seq_length: int = 512
+    mlm_probability: float = 0.15
+    per_device_train_batch_size: int = 8
+    per_device_eval_batch_size: int = 8
+    gradient_accumulation_steps: int = 1
+    learning_rate: float = 1e-4
+    weight_decay: float = 0.01
+    warmup_steps: int = 1000
+    eval_every: int = 500
+    eval_max_steps: int | None = None
+    patience: int | None = None
+    save_every: int = 1000
+    log_every: int = 10
+    gradient_clip: float = 1.0
+    seed: int = 42
+    pad_token_fallback: str = "eos"
+
+    def __post_init__(self) -> None:
+        for name in ("max_steps", "max_seq_length", "per_device_train_batch_size", "per_device_eval_batch_size", "gradient_accumulation_steps", "learning_rate", "eval_every", "save_every", "log_every"):
+            if isinstance(getattr(self, name), bool) or getattr(self, name) <= 0:
+                raise ValueError(f"{name} must be positive")
+        for name in ("eval_max_steps", "patience"):
+            if getattr(self, name) is not None and getattr(self, name) <= 0:
+                raise ValueError(f"{name} must be positive, or left out")
+        for name in ("weight_decay", "warmup_steps", "gradient_clip"):
+            if getattr(self, name) < 0:
+                raise ValueError(f"{name} must not be negative")
+        if not 0 < self.mlm_probability < 1:
+            raise ValueError("mlm_probability must lie between 0 and 1")
+        if self.pad_token_fallback not in PAD_FALLBACKS:
+            raise ValueError(f"pad_token_fallback must be one of {PAD_FALLBACKS}")
+
+
+def training_plan(path: str | Path, pinned: tuple[str, str] | None = None) -> TrainingPlan:
+    """Read and check a training plan; pinned: the model and revision that it must name."""
+    path = Path(path)
+    with path.open("rb") as f:
+        raw = tomllib.load(f).get("training", {})
+    if missing := [k for k in ("corpus", "model_identifier", "model_revision", "max_steps") if k not in raw]:
+        raise ValueError(f"missing settings in [training]: {missing}")
+    plan = _only(TrainingPlan, raw | {"corpus": resolved(raw["corpus"], path.parent)}, "training")
+    if pinned and (plan.model_identifier, plan.model_revision) != pinned:
+        raise ValueError(f"the model is pinned to {pinned}")
+    return plan

@@ -40,7 +40,9 @@ class Preprocessing:
         if self.locus_block_size < self.window_size:
             raise ValueError("a locus block must hold a window")
         if self.ambiguity_mode not in ("mask", "reject"):
-            raise ValueError("ambiguity_mode must be 'mask' or 'reject'")
+            raise ValueError(f"no such ambiguity_mode: {self.ambiguity_mode}; it masks or rejects")
+        if set(self.alphabet) != set(ALPHABET):
+            raise ValueError(f"the alphabet is {''.join(ALPHABET)}")
         if not self.split_weights or any(w <= 0 for _, w in self.split_weights):
             raise ValueError("split weights must be positive")
         if len({n for n, _ in self.split_weights}) != len(self.split_weights):
@@ -81,5 +83,7 @@ class Export:
         _whole("row_group_size", self.row_group_size, 1)
         for name in ("keep_coordinates", "keep_sequence", "keep_hash"):
             _flag(name, getattr(self, name))
+        if not self.keep_sequence and not self.keep_hash:
+            raise ValueError("an export keeps the windows or their hashes")
         if not set(self.partition_keys) <= {"split", "contig", "block_id"}:
             raise ValueError("partition keys are of split, contig and block_id")

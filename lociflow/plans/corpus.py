@@ -50,8 +50,12 @@ def run(spark: SparkSession, plan: CorpusPlan, tokenizer: Callable[[str], list[i
         guards.require_rows(tokens, f"{s.name} has no windows")
         flat = tokens.select("split", *(f"window.{c}" for c in ("locus_id", "contig", "block_start", "block_end", "window_start", "window_end")), F.length("window.sequence").alias("bases"))
         guards.require_split_safety(flat.drop("bases"), plan.preprocessing.locus_block_size)
-        final = tokens if plan.export.keep_sequence else tokens.withColumn("window", F.col("window").dropFields("sequence"))
-        corpus.write(final, f"{plan.output}/species={s.sample_id}", plan.export, windows.split_manifest(flat), mode="overwrite")
+        folder, manifest = f"{plan.output}/species={s.sample_id}", windows.split_manifest(flat)
+        if plan.export.format == "webdataset":  # shards always hold the raw windows
+            corpus.write_shards(tokens, folder, plan.export, manifest)
+        else:
+            final = tokens if plan.export.keep_sequence else tokens.withColumn("window", F.col("window").dropFields("sequence"))
+            corpus.write(final, folder, plan.export, manifest, mode="overwrite")
         counts = flat.groupBy("split").agg(F.count("*").alias("windows"), F.sum("bases").alias("bases")).select(F.lit(s.name).alias("species"), "split", "windows", "bases")
         reasons = rejected.groupBy("reason").count()
         reasons.write.mode("overwrite").json(f"{plan.output}/_rejected/{s.sample_id}")

@@ -21,15 +21,20 @@ class Header:
     samples: tuple[str, ...]
 
 
-def header(spark: SparkSession, path: str) -> Header:
-    """The header; only its lines, which don't grow with the records, reach the driver."""
-    lines = [r[0] for r in spark.read.text(path).where(F.col("value").startswith("##reference=") | F.col("value").startswith("##contig=<ID=") | F.col("value").startswith("#CHROM")).collect()]
-    columns = next((x.rstrip("\r").split("\t") for x in lines if x.startswith("#CHROM")), None)
-    if columns is None:
+def header(spark: SparkSession, path: str, first: int = 1024) -> Header:
+    """The header: the file's first lines up to #CHROM, read `first` at a time and then ever more, not the records."""
+    rows = spark.read.text(path)
+    while True:
+        got = [r[0] for r in rows.take(first)]
+        end = next((i for i, x in enumerate(got) if x.startswith("#CHROM")), None)
+        if end is not None or len(got) < first or not got[-1].startswith("#"):
+            break
+        first *= 4
+    if end is None:
         raise ContractError(f"{path} has no #CHROM line")
-    reference = next((x.partition("=")[2].strip() for x in lines if x.startswith("##reference=")), None)
-    contigs = tuple(x[len("##contig=<ID=") :].split(",")[0].split(">")[0] for x in lines if x.startswith("##contig"))
-    return Header(reference, contigs, tuple(columns[9:]))
+    reference = next((x.partition("=")[2].strip() for x in got[:end] if x.startswith("##reference=")), None)
+    contigs = tuple(x[len("##contig=<ID=") :].split(",")[0].split(">")[0] for x in got[:end] if x.startswith("##contig=<ID="))
+    return Header(reference, contigs, tuple(got[end].rstrip("\r").split("\t")[9:]))
 
 
 def records(spark: SparkSession, path: str, head: Header, on_bad: str = "raise") -> DataFrame:

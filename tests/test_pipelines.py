@@ -42,7 +42,7 @@ def test_corpus(spark, plan):
     # blocks of 1024: three of chr1, one of chr:2 and one of 3 hold two windows each; the last 476 bases of 3 hold none
     assert sum(w for w, _ in rows.values()) == 10
     out = Path(plan.output) / "species=big-cat"
-    head = json.loads(next((out / "metadata").glob("part-*")).read_text())
+    head = json.loads((out / "metadata.json").read_text())
     assert list(head) == sorted(head) and sum(s["record_count"] for s in head["splits"].values()) == sum(w for (n, _), (w, _) in rows.items() if n == "Big Cat")
     contigs = {urllib.parse.unquote(p.name.partition("=")[2]) for p in (out / "data").glob("split=*/contig=*")}
     assert contigs <= {"chr1", "chr:2"}
@@ -101,8 +101,8 @@ def test_tokens(spark):
 
 def test_export_contract(spark, tmp_path):
     t = tokenize(cut(spark), stride_tokenizer)
-    few = corpus.exported(t, Export(keep_coordinates=False, keep_hash=False), Tokenizer())
-    assert set(few.schema["window"].dataType.names) == {"ambiguity_fraction", "gc_fraction", "individual_id", "sample_id", "split", "source"}
+    few = corpus.exported(t, Export(keep_coordinates=False, keep_hash=False, keep_sequence=True), Tokenizer())
+    assert set(few.schema["window"].dataType.names) == {"sequence", "ambiguity_fraction", "gc_fraction", "individual_id", "sample_id", "split", "source"}
     rows = corpus.exported(t, Export(), Tokenizer())
     corpus.write(rows, f"file://{tmp_path}/c", Export(row_group_size=7, partition_keys=("split", "contig", "block_id")), windows.split_manifest(cut(spark)))
     assert corpus.read(spark, f"file://{tmp_path}/c").count() == rows.count()
