@@ -26,8 +26,13 @@ def require_none(bad: DataFrame, message: str, error: type[ContractError] = Cont
         raise error(f"{message}: {row[0].asDict()}")
 
 
+def unapproved_sources(df: DataFrame, approved: tuple[str, ...] = SOURCES) -> DataFrame:
+    """Rows whose source label is not approved; a null one is not."""
+    return df.where(F.col("source").isNull() | ~F.col("source").isin(*approved))
+
+
 def require_sources(df: DataFrame, approved: tuple[str, ...] = SOURCES) -> None:
-    require_none(df.where(F.col("source").isNull() | ~F.col("source").isin(*approved)).select("source"), f"only the source labels {sorted(approved)} are approved")
+    require_none(unapproved_sources(df, approved).select("source"), f"only the source labels {sorted(approved)} are approved")
 
 
 def loci_in_two_splits(windows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.functions import scores as score_fn, sequence as S, tokens, variants as V
+from lociflow.functions import geo, scores as score_fn, sequence as S, tokens, variants as V
 from lociflow.functions.splits import assign_split
 from lociflow.operators import effects, ensemble, genotypes, guards, intervals, loocv, metrics, prepare, windows
 from lociflow.operators.shared import spread
@@ -545,3 +545,122 @@ def url_build(spark, d):
 def perplexity(spark, d):
     c = A.table(spark, d, "conversations")
     return c.select("conv_id", "turn", F.round(score_fn.perplexity(F.length("text") / 10.0), 4).alias("perplexity"))
+
+
+@query("SELECT conv_id, round(CASE WHEN count(*) FILTER (WHERE role <> 'system') = 0 THEN 'nan'::DOUBLE ELSE count(*) FILTER (WHERE role <> 'system' AND length(text) % 2 = 0)::DOUBLE / count(*) FILTER (WHERE role <> 'system') END, 6) AS token_accuracy FROM conversations GROUP BY 1")
+def token_accuracy(spark, d):
+    """Turns as tokens: those of the system don't count, those of even length are right."""
+    counted = F.col("role") != "system"
+    c = A.table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(counted).alias("total"), F.count_if(counted & (F.length("text") % 2 == 0)).alias("correct"))
+    return c.select("conv_id", _r(score_fn.token_accuracy(F.col("correct"), F.col("total"))).alias("token_accuracy"))
+
+
+@query(
+    f"""WITH {PAIRS}, c AS (SELECT k, (SELECT count(*) FROM pairs WHERE label = k AND predicted = k) AS tp, (SELECT count(*) FROM pairs WHERE label <> k AND predicted = k) AS fp, (SELECT count(*) FROM pairs WHERE label = k AND predicted <> k) AS fn FROM range(0, 12) r(k))
+    SELECT round(avg(CASE WHEN tp = 0 THEN 0 ELSE 2.0::DOUBLE * tp / (2 * tp + fp + fn) END), 6) AS macro_f1 FROM c"""
+)
+def macro_f1(spark, d):
+    return metrics.macro_f1(metrics.class_scores(A.class_pairs(spark, d), list(range(12)))).select(_r("macro_f1").alias("macro_f1"))
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE * 12.5::DOUBLE - 20, 6) AS latitude FROM embeddings")
+def denormalised(spark, d):
+    return A.table(spark, d, "embeddings").select("vec_id", _r(geo.denormalize(F.get("embedding", F.lit(0)).cast("double"), F.lit(-20.0), F.lit(12.5))).alias("latitude"))
+
+
+@query("SELECT n_nationkey, CASE r_name WHEN 'AFRICA' THEN 0 WHEN 'AMERICA' THEN 1 WHEN 'ASIA' THEN 2 WHEN 'EUROPE' THEN 3 ELSE 4 END::INT AS class FROM nation JOIN region ON n_regionkey = r_regionkey")
+def class_index(spark, d):
+    n = A.table(spark, d, "nation").join(A.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.select("n_nationkey", score_fn.class_index(F.col("r_name"), ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")).alias("class"))
+
+
+@query("WITH c AS (SELECT p_partkey, trim(regexp_replace(lower('Build ' || p_name || ' (' || p_type || ')'), '[^a-z0-9]+', '_', 'g'), '_') AS evidence FROM part) SELECT p_partkey, evidence, contains(evidence, 'bolt') AND contains(evidence, 'build') AND NOT contains(evidence, 'small') AS matches FROM c")
+def reference_evidence(spark, d):
+    header = F.concat(F.lit("Build "), F.col("p_name"), F.lit(" ("), F.col("p_type"), F.lit(")"))
+    return A.table(spark, d, "part").select("p_partkey", V.canonical_evidence(header).alias("evidence"), V.evidence_matches(header, ("bolt", "build"), ("small",)).alias("matches"))
+
+
+# --- guards ----------------------------------------------------------------
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 2 = 0 THEN 'consensus' ELSE 'reference' END AS source FROM documents WHERE doc_id % 5 = 0 OR doc_id % 3 = 0")
+def unapproved_sources(spark, d):
+    i = F.col("doc_id")
+    label = F.when(i % 5 == 0, F.lit(None)).when(i % 3 == 0, F.col("source")).when(i % 2 == 0, "consensus").otherwise("reference")
+    return guards.unapproved_sources(A.table(spark, d, "documents").select("doc_id", label.alias("source")))
+
+
+@query("WITH n AS (SELECT greatest(count(*), 1) AS ids FROM documents) SELECT DISTINCT (l_orderkey % (ids + 50))::VARCHAR AS contig FROM lineitem, n WHERE l_orderkey % (ids + 50) NOT IN (SELECT doc_id FROM documents)")
+def unknown_contigs(spark, d):
+    docs = A.table(spark, d, "documents")
+    n = docs.agg((F.greatest(F.count("*"), F.lit(1)) + 50).alias("ids"))
+    loci = A.table(spark, d, "lineitem").crossJoin(F.broadcast(n)).select((F.col("l_orderkey") % F.col("ids")).cast("string").alias("contig"))  # one row
+    return guards.unknown_contigs(loci, docs.select(F.col("doc_id").cast("string").alias("contig")))
+
+
+@query("SELECT count(DISTINCT role) AS tokenizers FROM conversations HAVING count(DISTINCT role) > 1")
+def mixed_tokenizers(spark, d):
+    return guards.mixed_tokenizers(A.table(spark, d, "conversations").select(F.col("role").alias("tokenizer")))
+
+
+FOREIGN = CALLS + r""", odd AS (SELECT *, CASE WHEN pos % 11 = 0 THEN 'X' ELSE alt END AS a, pos % 5 <> 0 AS keyed FROM calls)"""
+
+
+def _odd_calls(spark, d):
+    """Calls of which some have a foreign letter, and some no GT in FORMAT."""
+    c = A.calls(spark, d)
+    return c.withColumn("alt", F.when(F.col("pos") % 11 == 0, "X").otherwise(F.col("alt"))).withColumn("format", F.when(F.col("pos") % 5 == 0, "DP").otherwise(F.col("format")))
+
+
+@query(f"WITH {FOREIGN} SELECT contig, a AS alt, count(*) AS n FROM odd WHERE filter IN ('PASS', '.') AND a IN ('T', 'C', 'G') GROUP BY ALL")
+def foreign_alleles(spark, d):
+    from lociflow.operators.variants import passing_snps
+
+    return passing_snps(_odd_calls(spark, d), "skip").groupBy("contig", "alt").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FOREIGN} SELECT contig, count(*) AS cells, count(CASE gt WHEN './.' THEN NULL ELSE 1 END) AS known FROM odd WHERE filter IN ('PASS', '.') AND a IN ('T', 'C', 'G') AND keyed AND sample_id IN (SELECT s_suppkey::VARCHAR FROM supplier) GROUP BY 1")
+def keyless_format(spark, d):
+    m = genotypes.long_matrix(_odd_calls(spark, d), A.individuals(spark, d))
+    return m.groupBy("contig").agg(F.count("*").alias("cells"), F.count("g").alias("known"))
+
+
+# --- corpus counts and trials ----------------------------------------------
+
+
+@query(f"WITH {WINDOWS} SELECT split, count(*) AS record_count FROM wins GROUP BY 1")
+def corpus_files(spark, d):
+    """Records by split as the written corpus's list of files has them."""
+    import uuid
+
+    from lociflow.operators.shared import settled
+    from lociflow.plans.contracts import Export, Tokenizer
+
+    rows = corpus.exported(tokens.tokenize(_windows(spark, d), tokens.known_base_tokenizer), Export(), Tokenizer())
+    settled(spark.range(1))  # makes sure that the shared folder is set
+    folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
+    corpus.write(rows, folder, Export(), windows.split_manifest(_windows(spark, d)))
+    head = corpus.head(spark, folder)
+    listed = spark.read.json(f"{folder}/{head['files']}")
+    return listed.groupBy("split").agg(F.sum("record_count").alias("record_count"))
+
+
+OBJECTIVES = "t AS (SELECT p_size AS trial, round(avg(p_retailprice), 2) AS objective FROM part GROUP BY 1)"
+
+
+@query(f"WITH {OBJECTIVES} SELECT trial, objective FROM t ORDER BY objective, trial LIMIT 5")
+def top_trials(spark, d):
+    t = A.table(spark, d, "part").groupBy(F.col("p_size").alias("trial")).agg(F.round(F.avg("p_retailprice"), 2).alias("objective"))
+    return ensemble.top_trials(t)
+
+
+@query(f"WITH {PLACED}, e AS (SELECT quantile_disc(km, 0.5) AS m FROM hav WHERE individual_id::INT % 2 = 0), b AS (SELECT quantile_disc(km, 0.5) AS m FROM hav WHERE individual_id::INT % 2 = 1) SELECT round(e.m, 6) AS ensemble_median, round(b.m, 6) AS best_median, CASE WHEN e.m < b.m THEN 'ensemble' ELSE 'best_trial' END AS adopted FROM e, b")
+def adopted(spark, d):
+    """Individuals of even number as the ensemble's result, the others as the best trial's."""
+    p, even = _placed(spark, d), F.col("individual_id").cast("int") % 2 == 0
+    return ensemble.adopted(p.where(even), p.where(~even)).select(_r("ensemble_median").alias("ensemble_median"), _r("best_median").alias("best_median"), "adopted")
+
+
+@query("SELECT * FROM (VALUES ('DNAZOO_Panthera_onca_HiC', 9690), ('GCF_000181335.3', 9685), ('GCF_000464555.1', 74533), ('GCF_001857705.1', 9691), ('GCF_003327715.1', 9696), ('GCF_018350215.1', 9689)) v(identifier, tax_id)")
+def assembly_registry(spark, d):
+    return assemblies.registry(spark).select("identifier", "tax_id")
