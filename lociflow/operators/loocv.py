@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from lociflow.functions.scores import BIOMES
 from lociflow.operators import ensemble, metrics
 from lociflow.operators.shared import settled
+from lociflow.plans.config import VES_MODES
 
-VES_MODES = ("none", "weighted", "selection", "learnable")
+#: Share of a step in the running statistics of batch norm.
+MOMENTUM = 0.1
+#: Most genotypes (a byte each) that are sent to the driver and the tasks.
+MOST_CELLS = 500_000_000
 
 
 @dataclass(frozen=True)
@@ -67,7 +71,10 @@ def layer_widths(inputs: int, width: int, layers: int) -> list[int]:
 
 
 class Network:
-    """Optional gate, standardised input, [linear, ELU, dropout] layers, heads for coordinates and classes; Adam with decoupled weight decay, warm-up and a cosine schedule."""
+    """Optional gate, batch norm, [linear, ELU, dropout] layers, heads for coordinates and classes; Adam with decoupled weight decay, warm-up and a cosine schedule.
+
+    Batch norm has a scale and a shift, and predicts by running statistics.
+    """
 
     def __init__(self, inputs: int, trial: Trial, classes: int, gate: np.ndarray | None = None):
         rng = np.random.RandomState(trial.seed + 1000 * trial.trial)
@@ -76,18 +83,25 @@ class Network:
         self.p = {f"w{i}": rng.normal(0, np.sqrt(2 / a), (a, b)) for i, (a, b) in enumerate(zip(sizes, sizes[1:]))}
         self.p |= {f"b{i}": np.zeros(b) for i, b in enumerate(sizes[1:])}
         self.p |= {"wc": rng.normal(0, 0.05, (sizes[-1], 2)), "bc": np.zeros(2), "wk": rng.normal(0, 0.05, (sizes[-1], classes)), "bk": np.zeros(classes)}
+        self.p |= {"scale": np.ones(inputs), "shift": np.zeros(inputs)}
         if gate is not None:
             self.p["gate"] = gate.astype(float).copy()
         self.depth = trial.layers
+        self.mean, self.var = np.zeros(inputs), np.ones(inputs)
 
     def _input(self, x: np.ndarray) -> np.ndarray:
         return x / (1 + np.exp(-self.p["gate"])) if "gate" in self.p else x
 
     def forward(self, x: np.ndarray, train: bool = False):
         g = self._input(x)
+        mean, var = self.mean, self.var
         if train:
-            self.mean, self.sd = g.mean(0), g.std(0) + 1e-5
-        h, kept = (g - self.mean) / self.sd, []
+            mean, var = g.mean(0), g.var(0)
+            self.mean = (1 - MOMENTUM) * self.mean + MOMENTUM * mean
+            self.var = (1 - MOMENTUM) * self.var + MOMENTUM * var * len(x) / max(1, len(x) - 1)
+        self.inverse = 1 / np.sqrt(var + 1e-5)
+        self.normal = (g - mean) * self.inverse
+        h, kept = self.normal * self.p["scale"] + self.p["shift"], []
         for i in range(self.depth):
             z = h @ self.p[f"w{i}"] + self.p[f"b{i}"]
             a = np.where(z > 0, z, np.expm1(np.minimum(z, 0)))
@@ -96,27 +110,34 @@ class Network:
             h = a * mask
         return h @ self.p["wc"] + self.p["bc"], h @ self.p["wk"] + self.p["bk"], h, kept
 
+    def gradients(self, x: np.ndarray, coords: np.ndarray, onehot: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of coord_weight * mean distance / 1000 km + class_weight * mean cross entropy."""
+        n = len(x)
+        c, k, h, kept = self.forward(x, train=True)
+        dc = self.trial.coord_weight * _haversine_gradient(c * sd + mean, coords) * sd / n / 1000
+        e = np.exp(k - k.max(1, keepdims=True))
+        dk = self.trial.class_weight * (e / e.sum(1, keepdims=True) - onehot) / n
+        g = {"wc": h.T @ dc, "bc": dc.sum(0), "wk": h.T @ dk, "bk": dk.sum(0)}
+        dh = dc @ self.p["wc"].T + dk @ self.p["wk"].T
+        for i in reversed(range(self.depth)):
+            before, z, mask = kept[i]
+            dz = dh * mask * np.where(z > 0, 1.0, np.exp(np.minimum(z, 0)))
+            g[f"w{i}"], g[f"b{i}"] = before.T @ dz, dz.sum(0)
+            dh = dz @ self.p[f"w{i}"].T
+        g["scale"], g["shift"] = (dh * self.normal).sum(0), dh.sum(0)
+        if "gate" in self.p:
+            s, du = 1 / (1 + np.exp(-self.p["gate"])), dh * self.p["scale"]
+            du = self.inverse * (du - du.mean(0) - self.normal * (du * self.normal).mean(0))
+            g["gate"] = (du * x * s * (1 - s)).sum(0)
+        return g
+
     def fit(self, x: np.ndarray, coords: np.ndarray, classes: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> Network:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
-        n, onehot = len(x), np.eye(self.p["bk"].size)[classes]
+        onehot = np.eye(self.p["bk"].size)[classes]
         for step in range(1, self.trial.epochs + 1):
-            c, k, h, kept = self.forward(x, train=True)
-            dc = self.trial.coord_weight * _haversine_gradient(c * sd + mean, coords) * sd / n / 1000
-            e = np.exp(k - k.max(1, keepdims=True))
-            dk = self.trial.class_weight * (e / e.sum(1, keepdims=True) - onehot) / n
-            g = {"wc": h.T @ dc, "bc": dc.sum(0), "wk": h.T @ dk, "bk": dk.sum(0)}
-            dh = dc @ self.p["wc"].T + dk @ self.p["wk"].T
-            for i in reversed(range(self.depth)):
-                before, z, mask = kept[i]
-                dz = dh * mask * np.where(z > 0, 1.0, np.exp(np.minimum(z, 0)))
-                g[f"w{i}"], g[f"b{i}"] = before.T @ dz, dz.sum(0)
-                dh = dz @ self.p[f"w{i}"].T
-            if "gate" in self.p:
-                s = 1 / (1 + np.exp(-self.p["gate"]))
-                g["gate"] = (dh / self.sd * x * s * (1 - s)).sum(0)
             rate = self.trial.rate * schedule(step - 1, self.trial.epochs)
-            for key, grad in g.items():
+            for key, grad in self.gradients(x, coords, onehot, mean, sd).items():
                 m[key] = 0.9 * m[key] + 0.1 * grad
                 v[key] = 0.999 * v[key] + 0.001 * grad**2
                 self.p[key] *= 1 - rate * self.trial.weight_decay
@@ -143,7 +164,8 @@ def run(individuals: DataFrame, trials: list[Trial], scores: list[float] | None
 
     individuals: individual_id, latitude, longitude, biome, genotypes (a row of
     the dense matrix, -1 for missing). Individuals are few (a row each, tens of
-    thousands of bytes), so the table is sent to the tasks; a (trial, fold) pair
+    thousands of bytes), so the table is sent to the tasks, once its size is
+    checked against MOST_CELLS; a (trial, fold) pair
     is a task's group, trained without the fold's individual. Missing genotypes
     take two draws at the frequency among the others. A trial's own top_k goes
     before that of the call.
@@ -151,6 +173,9 @@ def run(individuals: DataFrame, trials: list[Trial], scores: list[float] | None
     if scores is None and any(t.ves_mode != "none" for t in trials):
         raise ValueError("a ves_mode other than none needs scores")
     spark = individuals.sparkSession
+    cells = individuals.agg(F.sum(F.size("genotypes").cast("long"))).first()[0] or 0
+    if cells > MOST_CELLS:
+        raise ValueError(f"{cells} genotypes are more than the {MOST_CELLS} that a fold's network is trained on")
     data = individuals.select("individual_id", F.col("latitude").cast("double"), F.col("longitude").cast("double"), "biome", "genotypes").orderBy("individual_id").toPandas()
     if data.empty:
         raise ValueError("no individuals")

@@ -13,22 +13,30 @@ from lociflow.plans.contracts import Preprocessing
 def blocks(sequences: DataFrame, config: Preprocessing) -> DataFrame:
     """Parts of sequences in blocks of an absolute grid, of at least a window, with locus and split.
 
-    The split is hashed once a block. Only the block's bases go on with it, so a
-    contig is not copied for each window. Extra columns are kept.
+    All blocks of a row are cut from its bytes in one expression, so that no
+    exploded row carries the contig, and only the block's bases go on. The split
+    is hashed once a block. Extra columns are kept.
     """
     size = config.locus_block_size
     if "sequence_start" not in sequences.columns:
         sequences = sequences.withColumn("sequence_start", F.lit(0).cast("long"))
     start = F.col("sequence_start")
-    end = start + F.length("sequence")
+    end = (start + F.length("sequence")).cast("long")
     first = F.floor(start / size) * size
     grid = F.when(end > first, F.sequence(first, end - 1, F.lit(size).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    s = sequences.withColumn("__end", end.cast("long")).withColumn("block_start", F.explode(grid)).withColumn("block_end", F.col("block_start") + size)
-    s = s.withColumn("overlap_start", F.greatest("block_start", start)).withColumn("overlap_end", F.least("block_end", "__end"))
-    s = s.where(F.col("overlap_end") - F.col("overlap_start") >= config.window_size)
-    s = s.withColumn("sequence", S.piece(F.col("sequence"), F.col("overlap_start") - start, F.col("overlap_end") - F.col("overlap_start")))
+
+    def cut(bases):
+        def one(at):
+            a, b = F.greatest(at, start), F.least(at + size, end)
+            part = F.substring(bases, (a - start).cast("int") + 1, (b - a).cast("int")).cast("string")
+            return F.struct(at.alias("block_start"), (at + size).alias("block_end"), a.alias("overlap_start"), b.alias("overlap_end"), part.alias("sequence"))
+
+        return F.filter(F.transform(grid, one), lambda x: x["overlap_end"] - x["overlap_start"] >= config.window_size)
+
+    others = [c for c in sequences.columns if c not in ("sequence", "sequence_start")]
+    s = sequences.select(*others, F.inline(S.let(F.col("sequence").cast("binary"), cut)))
     s = s.withColumn("locus_id", locus_id(F.col("contig"), F.col("block_start"), F.col("block_end")))
-    return s.withColumn("split", assign_split(F.col("locus_id"), config.split_weights, config.split_seed)).drop("__end", "sequence_start")
+    return s.withColumn("split", assign_split(F.col("locus_id"), config.split_weights, config.split_seed))
 
 
 def windows(block_rows: DataFrame, config: Preprocessing) -> DataFrame:

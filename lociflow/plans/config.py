@@ -8,6 +8,9 @@ from pathlib import Path
 
 from lociflow.plans.contracts import Export, Preprocessing
 
+#: How variant-effect scores enter the network.
+VES_MODES = ("none", "weighted", "selection", "learnable")
+
 
 @dataclass(frozen=True)
 class Species:
@@ -93,6 +96,8 @@ class GenotypePlan:
             raise ValueError("trials must not be negative")
         if self.top_k is not None and (isinstance(self.top_k, bool) or self.top_k < 1):
             raise ValueError("top_k must be positive")
+        if self.ves_mode not in VES_MODES:
+            raise ValueError(f"ves_mode must be one of {VES_MODES}")
 
 
 def genotype_plan(path: str | Path) -> GenotypePlan:

@@ -93,6 +93,32 @@ def test_gradients_by_difference():
         assert np.allclose(g[:, j], (km(a + e) - km(a - e)) / 2e-5, rtol=1e-4)
 
 
+def test_network_gradients_by_difference():
+    """All parameters, through batch norm and gate, of the loss as it is written down."""
+    rng = np.random.RandomState(2)
+    x, coords, classes = rng.binomial(2, 0.4, (9, 6)).astype(float), rng.uniform(-20, 20, (9, 2)), rng.randint(0, 3, 9)
+    mean, sd, onehot = coords.mean(0), coords.std(0), np.eye(3)[classes]
+    net = loocv.Network(6, loocv.Trial(layers=2, width=5, dropout=0.0, coord_weight=0.7, class_weight=1.3), 3, rng.normal(size=6))
+
+    def loss():
+        c, k, _, _ = net.forward(x, train=True)
+        p, t = np.radians(c * sd + mean), np.radians(coords)
+        a = np.sin((p[:, 0] - t[:, 0]) / 2) ** 2 + np.cos(p[:, 0]) * np.cos(t[:, 0]) * np.sin((p[:, 1] - t[:, 1]) / 2) ** 2
+        return 0.7 * (2 * 6371 * np.arcsin(np.sqrt(a))).mean() / 1000 + 1.3 * (np.log(np.exp(k).sum(1)) - k[np.arange(9), classes]).mean()
+
+    found = net.gradients(x, coords, onehot, mean, sd)
+    assert set(found) == set(net.p)
+    for key, g in found.items():
+        for at in list(np.ndindex(g.shape))[:6]:
+            old = net.p[key][at]
+            net.p[key][at] = old + 1e-6
+            up = loss()
+            net.p[key][at] = old - 1e-6
+            down = loss()
+            net.p[key][at] = old
+            assert abs(g[at] - (up - down) / 2e-6) < 1e-5, (key, at)
+
+
 @pytest.mark.parametrize("mode", ["weighted", "selection", "learnable"])
 def test_effect_modes(spark, mode):
     got = loocv.run(people(spark, 6), [loocv.Trial(layers=1, width=8, epochs=5, ves_mode=mode)], scores=np.linspace(-1, 2, 30).tolist(), top_k=10).collect()
