@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociflow.sources.swap import qualified
+
 #: Texts of one Arrow batch are handled in runs of about this many characters.
 CHUNK_CHARS = 2_000_000
 
@@ -26,7 +28,7 @@ def id_crc(col: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of its own only where none is set."""
+    """The shared folder of spark.checkpoint.dir with its scheme; a folder of its own only where none is set, in local mode."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
@@ -35,7 +37,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="lociflow-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
-    return found if "://" in found or found.startswith("file:") else "file://" + found
+    return qualified(spark, found)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

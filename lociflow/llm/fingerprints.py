@@ -122,7 +122,8 @@ def before(docs: DataFrame) -> DataFrame:
     goes over a range's edge is one row for each range.
     """
     ids = docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
-    ids = checkpoint(ids.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
+    # the thin rows are written first, so that texts are not read again to find the ranges
+    ids = checkpoint(checkpoint(ids).repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
     ends = [r[0] | {"part": r[1]} for r in ((r[1].asDict(), r[0]) for r in ids.groupBy("part").agg(F.max(F.struct("doc_id", "n"))).orderBy("part").collect())]
     edges = [(e["part"], ends[i - 1]["doc_id"], ends[i - 1]["n"]) for i, e in enumerate(ends)]
     if not edges:

@@ -60,12 +60,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     their source, but a source of only such documents takes none. A null source
     is a source of its own, the last. Rows that repeat an id count each; an
     empty table gives an empty table. Only the sizes of sources reach the
-    driver. Other columns are not read.
+    driver: sources are names that someone weighs, not a key that grows with
+    the rows. Other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
     order = [F.col("source").asc_nulls_last(), F.desc("size"), F.col("doc_id").asc_nulls_last()]
-    rows = checkpoint(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    # the thin rows are written first, so that words are counted once and not again to find the ranges
+    rows = checkpoint(checkpoint(rows).repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     parts = rows.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     sizes = parts.groupBy("source").agg(F.sum("words").alias("words")).orderBy(F.col("source").asc_nulls_last()).collect()
     found = targets([(r[0], r[1]) for r in sizes], weights, share, most)

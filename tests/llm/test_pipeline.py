@@ -50,6 +50,23 @@ def test_odd_rows(spark, odd, none, tmp_path):
     assert docs.count() == 0
 
 
-def test_run(spark, small):
-    got = pipeline.run(spark, small)
-    assert got.count() > 0 and similar.THRESHOLD == 0.8
+def test_rows_without_an_id(spark, none, tmp_path):
+    """They pass the near copies and are taken once, whatever their text; a null text is rejected by the first stage alone."""
+    rows = [(None, "one two three four five six seven", "en", "a", 33), (None, "one two three four five six seven", "en", "a", 33), (1, "one two three four five six seven", "en", "a", 33), (2, "one two three four five six seven", "en", "a", 33), (None, None, "en", None, None)]
+    docs = spark.createDataFrame(rows, none.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    got = step(spark, tmp_path, pipeline.deduplicate, docs)
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(0, rows[0][1]), (0, rows[0][1]), (1, rows[0][1]), (0, "")])
+    mixed = step(spark, tmp_path, pipeline.mix, got)
+    assert mixed.where("doc_id is null").count() == 3 and 0 < mixed.where("doc_id = 1").count() <= 2
+    clean = step(spark, tmp_path, pipeline.remove_personal, got)
+    assert sorted((r.text is None) for r in clean.collect()) == [False, False, False, True]
+    assert step(spark, tmp_path, pipeline.identify, docs).count() == 4
+
+
+def test_run_equals_its_stages(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for _, stage in pipeline.STAGES:
+        docs = step(spark, tmp_path, stage, docs)
+    row = lambda r: (r.doc_id, r.lang, r.source, tuple(r.ids))
+    got = pipeline.run(spark, small).collect()
+    assert got and sorted(map(row, got)) == sorted(map(row, docs.collect())) and similar.THRESHOLD == 0.8
