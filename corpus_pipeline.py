@@ -51,7 +51,11 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def remove_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data and the terms that reveal it; n_chars follows the new text, null stays null."""
+    """Replace personal data and the terms that reveal it; n_chars follows the new text where it changed.
+
+    A null text stays null and an empty one empty; rows that repeat an id or
+    text, and rows without an id, are treated each by its own text.
+    """
     got = pii.sanitise(docs, keep=("doc_id", "lang", "source", "n_chars"))
     changed = F.size("base") + F.size("added") > 0
     return got.select("doc_id", F.col("clean").alias("text"), "lang", "source", F.when(changed, F.char_length("clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
@@ -60,8 +64,9 @@ def remove_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat each document as often as the mix takes it.
 
-    The mix is worked out on ids; rows that repeat an id and source take the
-    number of the first, and rows without an id are taken once.
+    The mix is worked out on all rows and told by id; rows that repeat an id all
+    take the largest number of its rows, and rows without an id are taken once.
+    Null and empty texts have size 0 and are taken at their source's rate.
     """
     docs = docs.select(*COLUMNS)
     copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0 and doc_id is not null")
@@ -70,7 +75,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, the ids of each text, where its pieces end, and the digest of what the ids decode to; repeats stay apart."""
+    """doc_id, lang, source, the ids of each text, where its pieces end, and the digest of what the ids decode to.
+
+    Repeats stay apart, rows without an id stay, and a null or empty text has no
+    ids; an empty table gives an empty one.
+    """
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"), decoded=True)
 
 
