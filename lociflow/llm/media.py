@@ -108,52 +108,51 @@ def unfilter(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
 
     Sub rows are sums along themselves. Up rows are sums down from the last row
     of another kind: the sum from the top, less the sum down to before that row.
-    Average and Paeth rows need their left neighbour first and go one by one, in
-    runs between which the others are undone at once.
+    Average and Paeth samples need the ones to their left, above and between;
+    with such rows the samples are undone along anti-diagonals, in each of which
+    none needs another.
     """
     if not kinds.any():
         return rows
     if (kinds > 4).any():
         raise ValueError("unknown row filter")
+    if (kinds > 2).any():
+        return _undo_diagonals(kinds, rows, step)
     out = rows.copy()
     for c in range(step):
         sub = kinds == 1
         out[sub, c::step] = np.add.accumulate(out[sub, c::step], axis=1, dtype=np.uint8)
-    slow = np.flatnonzero(kinds > 2).tolist()
-    begin = 0
-    for y in [*slow, len(out)]:
-        _undo_up(kinds, out, begin, y)
-        if y < len(out):
-            _undo_one(int(kinds[y]), out[y], out[y - 1] if y else np.zeros_like(out[0]), step)
-            begin = y + 1
+    _undo_up(kinds, out)
     return out
 
 
-def _undo_up(kinds: np.ndarray, out: np.ndarray, begin: int, end: int) -> None:
-    """Undo the up rows from begin to end, of which none is average or Paeth; the row before begin is done."""
-    if not (kinds[begin:end] == 2).any():
+def _undo_up(kinds: np.ndarray, out: np.ndarray) -> None:
+    """Undo the up rows in place, where the others are done."""
+    if not (kinds == 2).any():
         return
-    first = max(0, begin - 1)
-    part = out[first:end]
-    base = kinds[first:end] != 2
-    base[0] = True  # the row above, or the top row, above which all is zero
+    base = kinds != 2
+    base[0] = True  # above the top row all is zero
     last = np.maximum.accumulate(np.where(base, np.arange(len(base)), 0))
-    total = np.add.accumulate(part, axis=0, dtype=np.uint8)
+    total = np.add.accumulate(out, axis=0, dtype=np.uint8)
     above = np.vstack([np.zeros_like(total[:1]), total])[last]
-    part[...] = total - above
-
-
-def _undo_one(kind: int, row: np.ndarray, up: np.ndarray, step: int) -> None:
-    left, corner = [0] * step, [0] * step
-    for x in range(len(row)):
-        a, b, c = left[x % step], int(up[x]), corner[x % step]
-        if kind == 3:
-            guess = (a + b) >> 1
-        else:
-            pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-            guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
-        row[x] = left[x % step] = (int(row[x]) + guess) & 255
-        corner[x % step] = b
+    out[...] = total - above
+
+
+def _undo_diagonals(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
+    """Undo any filters, a whole anti-diagonal of samples at a time."""
+    height, width = len(rows), rows.shape[1] // step
+    raw = rows.reshape(height, width, step)
+    done = np.zeros((height + 1, width + 1, step), np.int16)  # a row and a column of zeros lie around
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height - 1, d) + 1)
+        x = d - y
+        left, up, corner = done[y + 1, x], done[y, x + 1], done[y, x]
+        to_left, to_up, to_corner = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+        paeth = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        kind = kinds[y][:, None]
+        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, up, left + up >> 1, paeth], np.int16(0))
+        done[y + 1, x + 1] = raw[y, x] + guess & 255
+    return done[1:, 1:].astype(np.uint8).reshape(rows.shape)
 
 
 def _cosines(n: int, k: int) -> np.ndarray:
