@@ -88,6 +88,8 @@ class GenotypePlan:
     ves_mode: str = "none"
     #: Parquet table of locus_key and score.
     scores: str | None = None
+    #: FASTA file on which a scorer scores the loci, where no table is given.
+    reference: str | None = None
     #: Loci that selection keeps in a run without trials; trials draw their own.
     top_k: int | None = None
 
@@ -106,7 +108,7 @@ def genotype_plan(path: str | Path) -> GenotypePlan:
         raw = tomllib.load(f)
     plan = _only(GenotypePlan, raw.get("genotype", raw), "genotype")
     at = lambda p: resolved(p, path.parent)
-    return GenotypePlan(at(plan.vcf), at(plan.metadata), at(plan.output), plan.trials, plan.seed, plan.ves_mode, at(plan.scores) if plan.scores else None, plan.top_k)
+    return GenotypePlan(at(plan.vcf), at(plan.metadata), at(plan.output), plan.trials, plan.seed, plan.ves_mode, at(plan.scores) if plan.scores else None, at(plan.reference) if plan.reference else None, plan.top_k)
 
 
 #: What may stand in for a missing padding token.

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _at(spark: SparkSession, path: str):
@@ -84,3 +85,20 @@ def recover(spark: SparkSession, target: str) -> bool:
         return False
     _rename(fs, max(left, key=lambda s: s.getModificationTime()).getPath(), where)
     return True
+
+
+def state_of(spark: SparkSession, path: str) -> list:
+    """Address, length and time of change of a file: what a table made from it depends on."""
+    fs, where, _ = _at(spark, path)
+    status = fs.getFileStatus(where)
+    return [where.toString(), status.getLen(), status.getModificationTime()]
+
+
+def cached(spark: SparkSession, path: str, key: dict, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table kept at a path, made anew where what it depends on (its key) has changed."""
+    recover(spark, path)
+    if not exists(spark, f"{path}/key.json") or json.loads(read_text(spark, f"{path}/key.json")) != key:
+        with replaced(spark, path) as new:
+            make().write.parquet(f"{new}/data")
+            write_text(spark, f"{new}/key.json", json.dumps(key, sort_keys=True))
+    return spark.read.parquet(f"{path}/data")

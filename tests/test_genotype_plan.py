@@ -5,7 +5,7 @@ import pytest
 from lociflow.operators import loocv
 from lociflow.plans import genotype
 from lociflow.plans.config import GenotypePlan, genotype_plan
-from tests.test_variants import write_metadata, write_vcf
+from tests.test_variants import write_fasta, write_metadata, write_vcf
 
 
 @pytest.fixture
@@ -54,3 +54,28 @@ def test_search_space():
         assert 3 <= t.layers <= 4 and 200 <= t.width <= 512 and 0.03 <= t.dropout <= 0.25 and 1.5e-3 <= t.rate <= 1.5e-2
         assert 200 <= t.epochs <= 800 and 0.5 <= t.coord_weight <= 6 and 0.1 <= t.class_weight <= 3 and 1e-5 <= t.weight_decay <= 5e-3 and 2000 <= t.top_k <= 5000
     assert loocv.schedule(0, 100) == 0 and loocv.schedule(10, 100) == 1 and 0 < loocv.schedule(99, 100) < 0.001
+
+
+def test_scores_are_made_by_a_scorer_and_kept(spark, tmp_path, files):
+    """Twelve loci of a contig of 600 bases: those before base 257 have no window. A second run reads what the first kept."""
+    calls = [("chr1", 251 + p, "A", "T", "PASS", "GT", "0/1", "1/1", "0/0", "0/1", "1/1", "0/0") for p in range(12)]
+    v = write_vcf(tmp_path / "w.vcf", calls, [f"p{i}" for i in range(6)])
+    ref = write_fasta(tmp_path / "r.fa", {"chr1": "A" * 600})
+    asked = tmp_path / "asked"
+
+    def scorer(refs, alts):
+        with asked.open("a") as f:
+            f.write("x" * len(refs))
+        assert all(len(r) == len(a) == 512 and r[256] == "A" and a[256] == "T" for r, a in zip(refs, alts))
+        return [float(a.count("T")) for a in alts]
+
+    plan = GenotypePlan(v, files[1], f"file://{tmp_path}/o", ves_mode="weighted", reference=ref)
+    with pytest.raises(ValueError, match="scores"):
+        genotype.evaluate(spark, plan)
+    genotype.evaluate(spark, plan, scorer=scorer)
+    kept = {r.locus_key: (r.score, r.failed) for r in spark.read.parquet(f"file://{tmp_path}/o/scores/data").collect()}
+    assert kept == {f"chr1:{251 + p}": (0.0, True) if p < 6 else (1.0, False) for p in range(12)}
+    assert spark.read.parquet(f"file://{tmp_path}/o/matrix/data").count() == 72 and spark.read.json(f"file://{tmp_path}/o/trials").count() == 1
+    before = asked.read_text()
+    genotype.evaluate(spark, plan, scorer=scorer)
+    assert asked.read_text() == before
