@@ -47,7 +47,7 @@ TERM_CHARS = 64
 #: Most revealing terms that are broadcast; beyond it they are joined by shuffle.
 BROADCAST_TERMS = 200_000
 #: A hot entity or text is split over so many keys of a join.
-SALTS = 32
+SALTS = 8
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # Possessive forms of the contract's patterns: same matches, linear time.
