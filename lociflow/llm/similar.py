@@ -35,7 +35,7 @@ SIG_BLOCK = 8192
 SET_BLOCK = 512
 SET_GRAMS = 1_000_000
 #: Children of a node in the trees that span what is linked.
-FAN = 4
+FAN = 32
 #: Keys over which a large group is dealt where its size is joined.
 SALTS = 8
 #: Copies of more than one in so many rows are a hot set: there are at most so many.
